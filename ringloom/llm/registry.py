@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ringloom.llm import sharding, simhash
+from ringloom.llm import packing, sharding, simhash, sstable
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
+    "op6_best_fit_packing": packing.query,
     "op7_jump_sharding": sharding.query,
+    "op8_token_sstables": sstable.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
