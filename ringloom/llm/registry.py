@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ringloom.llm import packing, sharding, simhash, sstable
+from ringloom.llm import packing, pii, sharding, simhash, sstable
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
     "op6_best_fit_packing": packing.query,
     "op7_jump_sharding": sharding.query,
     "op8_token_sstables": sstable.query,
+    "op10_crf_pii": pii.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
