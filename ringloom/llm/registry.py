@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ringloom.llm import multiset, packing, pii, sharding, simhash, sstable
+from ringloom.llm import langid, multiset, packing, pii, sharding, simhash, sstable
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.query,
     "op7_jump_sharding": sharding.query,
     "op8_token_sstables": sstable.query,
+    "op9_ngram_language_id": langid.query,
     "op10_crf_pii": pii.query,
 }
 
