@@ -8,6 +8,7 @@ Encoding is sequential within a file (each choice moves the cursor); files and v
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -256,8 +257,12 @@ class _Scan(_Ring):
             return best
         if v.search in ("chain", "hash"):
             key = bytes(self.data[self.out : self.out + (3 if v.search == "hash" else v.key)])
-            places = [p for p in self.chains.get(key, []) if self.out - p <= RING - LONGEST]
-            places = places[: v.depth] if v.oldest else places[: -v.depth - 1 : -1]
+            chain, first = self.chains.get(key, []), self.out - (RING - LONGEST)
+            if v.oldest:
+                at = bisect.bisect_left(chain, first)
+                places = chain[at : at + v.depth]
+            else:
+                places = [p for p in chain[: -v.depth - 1 : -1] if p >= first]
             for p in places:
                 n = self._length(self.out - p)
                 if n > best[1] or n == best[1] and v.tie == "last":

@@ -82,7 +82,8 @@ def safe_name(name: Column) -> Column:
 
 
 def build(items: list[tuple[str, bytes]], key: bytes) -> bytes:
-    """An archive for tests and examples. The key must be one that the table gives away: entries are laid out so that it is."""
+    """An archive for tests and examples. Its layout gives the key away, as that of real archives does: the first member starts at byte 10, and each
+    entry's next position is the position of the entry after it."""
     out = bytearray(MAGIC + len(items).to_bytes(2, "little"))
     table = bytearray()
     shift = lambda data: bytes((b + key[i % KEY]) & 0xFF for i, b in enumerate(data))
