@@ -65,7 +65,7 @@ class Filter:
 
     def __init__(self, languages: list[str], shares: list[float], grams: list[np.ndarray]):
         self.languages, self.shares = languages, shares
-        self.bits = max(10, int(np.ceil(np.log2(max(1, *map(len, grams)) * CELLS_PER_NGRAM))))
+        self.bits = max(10, int(np.ceil(np.log2(max([1, *map(len, grams)]) * CELLS_PER_NGRAM))))
         word = np.uint8 if len(languages) <= 8 else np.uint64
         self.per_word = 8 * np.dtype(word).itemsize
         self.cells = np.zeros((-(-len(languages) // self.per_word), 1 << self.bits), word)

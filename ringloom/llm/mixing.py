@@ -129,10 +129,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
 
 def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with each row as often as its rate says."""
-    taken = mix(docs, labels, id_col=id_col, text_col=text_col, **options).where("copies > 0").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), "copies")
-    rows = docs.withColumns({"_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    both = rows.join(taken.withColumnRenamed("_key", "_key2"), (F.col("_key") == F.col("_key2")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mix(docs, labels, id_col=id_col, text_col=text_col, **options).where("copies > 0")
+    taken = taken.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.col("copies").alias("_copies"))
+    same = (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_key")) & docs[id_col].cast("long").eqNullSafe(F.col("_id"))
+    return docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
