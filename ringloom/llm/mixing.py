@@ -47,13 +47,15 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select("id", "text_key", "tokens", F.concat("terms", F.array(*traits)).alias("terms"))
 
 
-def learn(rows: DataFrame, labels: DataFrame, domain: Column, names: list[str], id_col: str, sample: int = SAMPLE) -> DataFrame:
+def learn(docs: DataFrame, labels: DataFrame, domain: Column, names: list[str], id_col: str, text_col: str, sample: int = SAMPLE) -> DataFrame:
     """term, w0, w1, ...: the logarithm of what a term's presence makes of each domain's share, WORDS + 1 rows at most. The term that all
     have carries the shares themselves and what the absence of every term says; a present term takes its own absence back."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), domain.alias("domain")).where(F.col("id").isNotNull() & F.col("domain").isin(names))
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) < min(1.0, sample / max(1, n)) * (1 << 30))
-    seen = rows.join(F.broadcast(drawn), "id").select("domain", F.explode("terms").alias("term"))  # about ``sample`` rows are broadcast
+    drawn = F.broadcast(drawn)  # about ``sample`` rows
+    few = docs.join(drawn.select(F.col("id").alias(id_col)), id_col, "left_semi")  # only their texts are cut into words
+    seen = _rows(few, id_col, text_col).join(drawn, "id").select("domain", F.explode("terms").alias("term"))
     counts = [F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(names)]
     terms = saved(seen.groupBy("term").agg(*counts), "terms")
     of = terms.where(F.col("term") == _ALL).first()
@@ -119,7 +121,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     if not names or min(targets.values()) < 0 or max(targets.values()) <= 0:
         raise ValueError("targets must be shares, one of them positive")
     rows = _rows(docs, id_col, text_col)
-    vocabulary = learn(rows, labels, label_domain() if domain is None else domain, names, id_col)
+    vocabulary = learn(docs, labels, label_domain() if domain is None else domain, names, id_col, text_col)
     table = saved(posteriors(rows, vocabulary, len(names)), "posteriors")
     rate, _, _ = fit_rates(table, [float(targets[d]) for d in names])
     draw = F.pmod(F.xxhash64("id", "text_key", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
