@@ -43,10 +43,8 @@ def unhex_text(text: Column) -> Column:
 
 def bytes_of(binary: Column) -> Column:
     """The bytes of a binary column as an array of ints."""
-    digits = F.hex(binary)
-    n = F.octet_length(binary)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.conv(digits.substr(2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    # the pairs of digits are cut once; a lambda that cut its own pair would write out all digits again for each byte
+    return F.transform(F.regexp_extract_all(F.hex(binary), F.lit(".."), F.lit(0)), lambda p: F.conv(p, 16, 10).cast("int"))
 
 
 def little_endian(binary: Column, at: int, size: int) -> Column:

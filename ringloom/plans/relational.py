@@ -248,7 +248,7 @@ def modular_kernel(spark, sf_dir):
 
 
 @query("bit_kernel", """SELECT doc_id, CAST(sum(xor(b, 255)) AS BIGINT) AS flipped, CAST(sum((b >> 4) & 15) AS BIGINT) AS high, count(*) FILTER (WHERE b & 1 = 1) AS odd FROM
-  (SELECT doc_id, get_byte AS b FROM (SELECT doc_id, CAST(unnest(list_transform(range(octet_length(encode(coalesce(text, '')))), lambda i: CAST('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2) AS INT))) AS INT) AS get_byte FROM documents)) GROUP BY 1""")
+  (SELECT doc_id, CAST('0x' || unnest(regexp_extract_all(hex(encode(coalesce(text, ''))), '..')) AS INT) AS b FROM documents) GROUP BY 1""")
 def bit_kernel(spark, sf_dir):
     """Bytes of whole texts: inverted, shifted, masked."""
     from ringloom.functions import scalar as s
