@@ -117,7 +117,7 @@ def _pivots(points: DataFrame) -> dict[tuple, np.ndarray]:
     table = points.sparkSession.createDataFrame(want, f"label {dict(points.dtypes)['label']}, dims int, k int, size long")
     drawn = points.join(F.broadcast(table), ["label", "dims"])
     # about 4k + 8 of each group by a hash of the point, then the first k: each draw is a small share of a group
-    drawn = drawn.where(F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("size")) < 4 * F.col("k") + 8).select("label", "dims", "k", "node", "vector")
+    drawn = drawn.where(F.pmod(F.xxhash64("vector", F.lit("pivot")), F.col("size")) < 4 * F.col("k") + 8).select("label", "dims", "k", "node", "vector")
     out: dict[tuple, np.ndarray] = {}
     for (label, dims), group in drawn.toPandas().groupby(["label", "dims"]):
         rows = group.sort_values("node").head(int(group["k"].iloc[0]))
@@ -209,12 +209,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     rows = rows.withColumn("vector", F.when(fine, F.transform("vector", lambda x: x + F.lit(0.0)))).withColumn("dims", F.size("vector"))
     good = rows.where("vector is not null")
     points = good.groupBy("label", "dims", "vector").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    points = saved(points.withColumn("node", F.coalesce("least", -1 - F.abs(F.xxhash64("label", "vector")))), "vectors")
+    points = saved(points.withColumn("node", F.monotonically_increasing_id()), "vectors")  # ids may repeat, points don't
     result = saved(_joined(_placed(points, _pivots(points), radius), threshold), "links")
     weights = result.where("other is null").groupBy("node").agg(F.sum("weight").alias("weight"))
     group = components(result.where("other is not null"), "node", "other")
     points = points.join(weights, "node", "left").join(group, "node", "left")
-    points = saved(points.select("label", "vector", "n", (F.coalesce("weight", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "vectors")
+    points = saved(points.select("label", "vector", "node", "n", "least", (F.coalesce("weight", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("root")), "vectors")
+    roots = saved(points.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("points")), "roots")
+    points = saved(attach(points, roots, ["root"], "points", "node").select("label", "vector", "n", "n_links", "component_id"), "vectors")
     found = attach(good, points, ["label", "vector"], "n", "id").select("id", "n_links", "component_id")
     out = found.union(rows.where("vector is null").select("id", F.lit(0).cast("long"), "id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

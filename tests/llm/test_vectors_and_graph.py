@@ -51,7 +51,7 @@ def test_range_join(spark, monkeypatch, cell, block, spread):
     monkeypatch.setattr(embeddings, "CELL", cell)
     monkeypatch.setattr(embeddings, "BLOCK", block)
     rows = vectors(cell, 240, 6, spread)
-    odd = [[0.0] * 6, None, [1.0, None, 0, 0, 0, 0], [float("nan")] * 6, [float("inf"), 1, 1, 1, 1, 1], [], [1.0, 2.0], [1.0, 2.0], [-0.0, 0.0, 1.0], [0.0, 0.0, 2.0]]
+    odd = [[0.0] * 6, None, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0], [], [1.0, 2.0], [1.0, 2.0], [-0.0, 0.0, 1.0], [0.0, 0.0, 2.0]]
     rows += [(1000 + i, v, 1, "x", 2) for i, v in enumerate(odd)] + [(2000, rows[0][1], None, "x", 2)]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.98).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute(rows, 0.98)
