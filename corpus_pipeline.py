@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringloom.llm import mixing, packing, pii, quality, simhash
+from ringloom.llm import mixing, overlap, packing, pii, quality
 from ringloom.llm._common import saved
 
 
@@ -18,8 +18,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    return overlap.keep_one(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality classifier", good_documents),
-    ("SimHash near-dedup", one_of_each),
+    ("near-dedup", one_of_each),
     ("PII", without_personal_data),
     ("mixing to target weights", mixed_to_targets),
     ("best-fit packing", packed_sequences),
