@@ -1,9 +1,10 @@
 """Mixing documents to target weights of domains that each document belongs to softly.
 
 A naive Bayes classifier, learned from a labelled table over the most telling words, gives each document's posterior
-over the domains. Then nonnegative rates are fitted by least squares so that the expected tokens of each domain (the sum over
-documents of rate, tokens and posterior) meet the targets. Projected gradient descent does it: a step needs one sum for each
-domain over all documents, and the driver holds these sums alone; a document's rate after all steps is an expression of its posterior.
+over the domains. Then nonnegative rates are fitted so that the expected tokens of each domain (the sum over documents of rate, tokens
+and posterior) meet the targets with rates as near to 1 as can be. Newton's method on the dual does it: there is one unknown for each
+domain, a step needs the sums of each domain and each pair of domains over all documents, and the driver holds these sums alone; a
+document's rate is an expression of its posterior.
 
 DataFrame functions only: no Python runs on the executors. Only the vocabulary (``WORDS`` rows) is broadcast.
 """
@@ -11,8 +12,10 @@ DataFrame functions only: no Python runs on the executors. Only the vocabulary (
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +25,10 @@ from ringloom.llm._common import saved
 SAMPLE, WORDS, LEAST = 20_000, 256, 8
 #: A term is telling if it makes some domain so many times likelier, after so many average rows are added to it.
 LIFT, CALM = 2.5, 10
-#: Gradient steps at most, and the relative gap at which they end.
-STEPS, CLOSE = 25, 1e-4
+#: Newton steps at most (ten or so are needed), and the gap, relative to a domain's tokens, at which a target is met.
+STEPS, CLOSE = 100, 1e-4
+#: What rates away from 1 cost against gaps: where not all targets can be met, and where they can.
+EASE, FIRM = 1e-4, 1e-8
 #: Shares of tokens by domain: documents that pass, with a trace of toxic ones, and no junk.
 TARGETS = {"clean": 0.98, "toxic": 0.02, "junk": 0.0}
 _ALL = "#all"
@@ -88,25 +93,61 @@ def posteriors(rows: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
 def fit_rates(table: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[Column, list[float], list[float]]:
     """The rate as an expression, what each domain has before, and what it is to have.
 
-    The largest domain by target keeps its tokens, which sets the total. Every step moves a rate by the gaps of the domains, relative to
-    their tokens and weighted by the posterior, and sets negative rates to zero.
+    The largest domain by target keeps its tokens, which sets the total. The rates minimise ease * sum(tokens * (rate - 1)^2) + sum(gap^2 /
+    scale); then the rate is 1 plus a combination of the posteriors, or zero. If not all targets are met so, the smallest ease is tried,
+    which meets all that can be met together; where it doesn't, EASE holds back rates far from 1, and a warning tells the gaps.
     """
     ks = range(len(targets))
-    sums = lambda rate: [x or 0.0 for x in table.agg(*[F.sum(rate * F.col("tokens") * F.col("copies_in") * F.col(f"p{k}")) for k in ks]).first()]
-    rate = F.lit(1.0)
-    has = before = sums(rate)
+    pairs = [(k, m) for k in ks for m in ks if k <= m]
+    weight = F.col("tokens") * F.col("copies_in")
+
+    def rate(at: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), sum((F.lit(float(x)) * F.col(f"p{k}") for k, x in enumerate(at)), F.lit(1.0)))
+
+    def sums(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Of tokens: rate squared, by domain, by pair of domains among rows whose rate isn't zero."""
+        live = weight * F.when(F.col("_rate") > 0, 1.0).otherwise(0.0)
+        found = table.withColumn("_rate", rate(at)).agg(F.sum(weight * F.col("_rate") * F.col("_rate")), *[F.sum(weight * F.col("_rate") * F.col(f"p{k}")) for k in ks], *[F.sum(live * F.col(f"p{k}") * F.col(f"p{m}")) for k, m in pairs]).first()
+        found = np.array([x or 0.0 for x in found], float)
+        square = np.zeros((len(ks), len(ks)))
+        for (k, m), x in zip(pairs, found[1 + len(ks) :], strict=True):
+            square[k, m] = square[m, k] = x
+        return float(found[0]), found[1 : 1 + len(ks)], square
+
+    start = sums(np.zeros(len(ks)))
+    before = start[1]
     lead = max(ks, key=lambda k: targets[k])
-    wanted = [before[lead] * t / targets[lead] for t in targets]
-    scale = [max(b, w, 1.0) for b, w in zip(before, wanted, strict=True)]
-    for _ in range(steps):
-        gap = [(h - w) / s for h, w, s in zip(has, wanted, scale, strict=True)]
-        moved = F.greatest(F.lit(0.0), rate - sum((F.lit(g) * F.col(f"p{k}") for k, g in enumerate(gap)), F.lit(0.0)))
-        now = sums(moved)
-        done = max(abs(x - y) / s for x, y, s in zip(now, has, scale, strict=True)) < CLOSE
-        rate, has = moved, now
-        if done:
-            break
-    return rate, before, wanted
+    wanted = before[lead] * np.array(targets, float) / targets[lead]
+    scale = np.maximum(np.maximum(before, wanted), 1.0)
+
+    def settle(at: np.ndarray, now: tuple, ease: float) -> tuple[np.ndarray, tuple] | None:
+        cost = lambda at, now: now[0] / 2 - wanted @ at + ease / 2 * (scale * at) @ at
+        for _ in range(steps):
+            slope = now[1] - wanted + ease * scale * at
+            if np.abs(slope / scale).max() < CLOSE / 100:
+                return at, now
+            step, size = -np.linalg.solve(now[2] + ease * np.diag(scale), slope), 1.0
+            while True:
+                then = sums(at + size * step)
+                if cost(at + size * step, then) <= cost(at, now) + 1e-4 * size * (slope @ step) + 1e-12 * abs(cost(at, now)):
+                    break
+                size /= 2
+                if size < 1e-9:
+                    return None
+            at, now = at + size * step, then
+        return None
+
+    gap = lambda now: float(np.abs((now[1] - wanted) / scale).max())
+    found = settle(np.zeros(len(ks)), start, EASE)
+    if found is None:
+        raise RuntimeError(f"rates did not settle in {steps} steps")
+    if gap(found[1]) > CLOSE:
+        firm = settle(*found, FIRM)
+        if firm is not None and gap(firm[1]) <= CLOSE:
+            found = firm
+        else:
+            warnings.warn(f"targets can't all be met: tokens {found[1][1].tolist()}, wanted {wanted.tolist()}", stacklevel=2)
+    return rate(found[0]), before.tolist(), wanted.tolist()
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +156,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     A row stands for all rows with the same id and text (copies_in of them); copies is how many of each to take: the rate, rounded up or
     down by a hash of id and text so that it holds on average. Null, empty and white texts have no tokens and are classed by the shares of
     the labelled rows and the traits of an empty text. A null id is an id. A domain without labelled rows hardly gets anything; without any labels all domains
-    are alike. A target that the corpus can't meet is met as closely as it can. Other columns are not read; no rows give no rows.
+    are alike. Targets that the corpus can't meet together are met as closely as EASE lets rates leave 1, with a warning. Other columns are not read; no rows give no rows.
     """
     names = list(targets)
     if not names or min(targets.values()) < 0 or max(targets.values()) <= 0:
