@@ -189,13 +189,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, fingerprint (16 hex digits), component_id (the least id that links reach), for every input row.
 
     Null, empty and white texts have fingerprint zero and link with each other and with what is near zero. Rows with equal
-    ids or equal texts are rows of their own. A row with a null id joins the component of its fingerprint; where a fingerprint
+    ids or equal texts are rows of their own. A row with a null id links as any other; where a component
     has no other id, component_id is null. Other columns are not read; no rows give no rows.
     """
     prints = saved(fingerprints(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col), "simhash")
-    points = saved(prints.groupBy("fp").agg(F.min(id_col).alias("node"), F.count("*").alias("n")), "points")
-    group = components(links(points.where("node is not null")))
-    points = saved(points.join(group, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id")), "points")
+    points = saved(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")).withColumn("node", F.col("fp")), "points")  # ids may repeat, fingerprints don't
+    points = points.join(components(links(points)), "node", "left")
+    points = saved(points.select("fp", "n", "least", F.coalesce("component", "node").alias("root")), "points")
+    roots = saved(points.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("points")), "roots")
+    points = saved(attach(points, roots, ["root"], "points", "fp").select("fp", "n", "component_id"), "points")
     return attach(prints, points, ["fp"], "n", id_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
