@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +12,30 @@ from ringloom.llm._common import attach, saved
 
 #: Far above what a logarithmic number of rounds needs.
 MAX_ROUNDS = 60
+#: So many edges at most are one task's work: the rounds of more would cost more than they spread.
+FEW = 1 << 14
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+    """Number of edges and 128 bits of their set; no sum that could overflow."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(h.cast("decimal(20,0)"))).first())
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges (u, v)."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := top.setdefault(x, x)) != x:
+            top[x] = x = top[y]
+        return x
+
+    for b in batches:
+        for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            u, v = find(u), find(v)
+            top[max(u, v)] = min(u, v)
+    yield pa.RecordBatch.from_pydict({"node": list(top), "component": [find(x) for x in list(top)]}, schema=pa.schema([("node", pa.int64()), ("component", pa.int64())]))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,9 +47,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pair = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
     now = saved(pair.distinct(), "edges")
     state = _state(now)
+    if state[0] <= FEW:
+        return now.coalesce(1).mapInArrow(_in_one_task, "node long, component long")
     for _ in range(MAX_ROUNDS):
-        if not state[0]:
-            break
         both = now.union(now.select("v", "u"))
         least = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "large")
         # every larger neighbour of u is tied to the least of u's neighbourhood

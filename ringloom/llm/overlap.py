@@ -1,11 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: an exact prefix join.
+"""Exact completion of near-duplicate groups: a prefix join on word shingles.
 
-Two sets of shingles with similarity t or more share one of the first n - ceil(t n) + 1 shingles of each, in whatever order all sets
+Two sets of shingles with Jaccard similarity t or more share one of the first n - ceil(t n) + 1 shingles of each, in whatever order all sets
 are sorted. Shingles that a sample of the texts shows often come last, so that the shared ones are rare. Rows that meet at a shingle
 are candidates, if the shingles after it can still make up the overlap that is needed; a candidate is compared on the whole sets.
 
 Equal word sequences are one point. Where many points meet, each is first compared with the next few; then only points that are still in
-different components are, so a group of near copies needs no comparison of all its pairs.
+different components are, so a group of near copies needs no comparison of all its pairs. Of those, only pairs whose prefixes share enough
+shingles are compared on the whole sets. Texts are read again for candidates only.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.llm._common import attach, n_parts, saved
@@ -27,6 +28,24 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 SAMPLE, OFTEN, FREQUENT = 10_000, 4, 1 << 16
 #: Rows of a group that a row is compared with before components are known.
 NEXT = 4
+#: Rows of a table of keys that is broadcast (about 40 bytes each); a larger one is joined by a shuffle.
+TOLD = 1 << 16
+#: Words whose hashes a task remembers, and the columns that tell a row of the documents.
+CACHE, KEY = 1 << 18, ["_none", "_id", "_key"]
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+class _WordHashes(dict):
+    """Hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word, SEED)
+        if len(self) < CACHE:
+            self[word] = h
+        return h
+
+
+_HASHES = _WordHashes()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -39,13 +58,24 @@ def point(words: list[bytes]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """A hash for each shingle, repeats included; a shorter text is one shingle, and no words give none."""
+    n = len(words)
+    each = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    m = min(n, shingle)
+    if not m:
+        return each
+    out = np.full(n - m + 1, m, np.uint64)
+    for k in range(m):
+        out += each[k : n - m + 1 + k] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+    out = (out ^ (out >> np.uint64(31))) * _MIX
+    return out ^ (out >> np.uint64(29))
+
+
 def shingle_set(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes; a shorter text is one shingle, and no words give none."""
-    if not words:
-        return np.zeros(0, np.int64)
-    parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(s, SEED) for s in parts), np.uint64).view(np.int64))
+    """Sorted distinct hashes of the shingles."""
+    h = np.sort(shingle_hashes(words, shingle).view(np.int64))
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
 def enough(a, b, similarity: float):
@@ -66,28 +96,35 @@ def _chunks(rows: Iterator[tuple[np.ndarray, ...]], limit: int = 1 << 16) -> Ite
         yield [pa.array(np.concatenate(x)) for x in zip(*held, strict=True)]
 
 
-def frequent(points: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample, sorted by hash, and their counts."""
+def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample, sorted by hash, and their counts. They choose an order, so results don't depend on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks((shingle_set(words_of(t.as_py()), shingle),) for b in batches for t in b.column(0)):
             yield pa.RecordBatch.from_arrays(part, names=["s"])
 
-    n = points.count()
-    drawn = points.where(F.pmod(F.xxhash64("node", F.lit("overlap")), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30))
+    n = docs.count()
+    drawn = docs.where(F.pmod(F.xxhash64("_key", "_id", F.lit("overlap")), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30))
     top = drawn.select("text").mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(FREQUENT).toPandas()
     top = top.sort_values("s")
     return top["s"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
 
 
-def prefixes(points: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """s, node, size, at: the shingles that a point may share with a similar one, and their places in the common order."""
-    often, counts = frequent(points, shingle)
+def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """s, node, size, at: the shingles that a point may share with a similar one, and their places in the common order. A task gives
+    the rows of a point once."""
+    often, counts = frequent(docs, shingle)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        seen: set[int] = set()
         for b in batches:
-            for node, text in zip(b.column(0), b.column(1), strict=True):
-                s = shingle_set(words_of(text.as_py()), shingle)
+            for text in b.column(0):
+                words = words_of(text.as_py())
+                node = point(words)
+                if node in seen:
+                    continue
+                seen.add(node)
+                s = shingle_set(words, shingle)
                 n = len(s)
                 if not n:
                     continue
@@ -95,13 +132,13 @@ def prefixes(points: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     k = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     s = s[np.argsort(np.where(often[k] == s, counts[k], 0), kind="stable")]
                 k = n - math.ceil(similarity * n - 1e-6) + 1
-                yield s[:k], np.full(k, node.as_py()), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)
+                yield s[:k], np.full(k, node), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(rows(batches)):
             yield pa.RecordBatch.from_arrays(part, names=["s", "node", "size", "at"])
 
-    return points.select("node", "text").mapInArrow(run, "s long, node long, size int, at int")
+    return docs.select("text").mapInArrow(run, "s long, node long, size int, at int")
 
 
 def _fits(size: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -126,34 +163,43 @@ def _batches_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.nd
 
 
 def _first_look(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: candidates among neighbours; and s, node, size, at of the groups that have more rows than these compare."""
+    """a, b: candidates among neighbours; and s, node, size of all groups of two or more points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, node, size, at in _batches_of_groups(batches):
+        for group in _batches_of_groups(batches):
+            once = np.append(True, (group[0][1:] != group[0][:-1]) | (group[1][1:] != group[1][:-1]))  # tasks may give a point again
+            s, node, size, at = (x[once] for x in group)
             found = []
             for k in range(1, NEXT + 1):
                 i = np.nonzero(s[k:] == s[:-k])[0]
                 i = i[_fits(size, at, i, i + k, similarity)]
                 found.append((node[i], node[i + k]))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            pairs = np.unique(np.concatenate([np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1) for a, b in found]), axis=0)
             _, which, n = np.unique(s, return_inverse=True, return_counts=True)
-            more = n[which] > NEXT + 1
-            m, c = int(more.sum()), len(a)
+            more = n[which] > 1
+            m, c = int(more.sum()), len(pairs)
             col = lambda x, y, t: pa.concat_arrays([pa.array(x, t) if x is not None else pa.nulls(c, t), pa.array(y, t) if y is not None else pa.nulls(m, t)])
-            yield pa.RecordBatch.from_arrays([col(a, node[more], pa.int64()), col(b, None, pa.int64()), col(None, s[more], pa.int64()), col(None, size[more], pa.int32()), col(None, at[more], pa.int32())], names=["a", "b", "s", "size", "at"])
+            yield pa.RecordBatch.from_arrays([col(pairs[:, 0], node[more], pa.int64()), col(pairs[:, 1], None, pa.int64()), col(None, s[more], pa.int64()), col(None, size[more], pa.int32())], names=["a", "b", "s", "size"])
+
+    # all groups have the same order, so that near copies have the same neighbours in each
+    rows = rows.repartition(n_parts(rows.sparkSession), "s").sortWithinPartitions("s", "node")
+    return rows.mapInArrow(run, "a long, b long, s long, size int")
 
-    # the order within a group is by hash of node and shingle, so that neighbours differ from group to group
-    rows = rows.repartition(n_parts(rows.sparkSession), "s").sortWithinPartitions("s", F.xxhash64("s", "node"))
-    return rows.mapInArrow(run, "a long, b long, s long, size int, at int")
+
+def least_shared(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that the prefixes of similar sets of these sizes share. All common shingles up to the end of the prefix that ends first lie
+    in both prefixes, so what the whole sets share beyond the prefixes is at most what follows one of them."""
+    after = np.maximum(np.ceil(similarity * a - 1e-6), np.ceil(similarity * b - 1e-6)) - 1
+    return np.maximum(1, enough(a, b, similarity) - after).astype(np.int32)
 
 
 def _second_look(rows: DataFrame, similarity: float) -> DataFrame:
-    """``rows(s, node, size, at, component)`` -> a, b: candidates whose components differ."""
+    """``rows(s, node, size, component)`` -> a, b, shared: candidates whose components differ and whose prefixes share as many shingles as they must."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda held: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["a", "b"])
+        out = lambda held: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["a", "b", "need"])
         held, n = [], 0
-        for s, node, size, at, component in _batches_of_groups(batches):
+        for s, node, size, component in _batches_of_groups(batches):
             starts = np.nonzero(np.append(True, s[1:] != s[:-1]))[0]
             for lo, hi in zip(starts, np.append(starts[1:], len(s)), strict=True):
                 if (component[lo:hi] == component[lo]).all():
@@ -161,9 +207,9 @@ def _second_look(rows: DataFrame, similarity: float) -> DataFrame:
                 for i in range(lo, hi - 1):
                     j = np.arange(i + 1, hi)
                     j = j[component[j] != component[i]]
-                    j = j[_fits(size, at, np.full(len(j), i), j, similarity)]
+                    j = j[np.minimum(size[i], size[j]) >= enough(size[i], size[j], similarity)]
                     if len(j):
-                        held.append((np.full(len(j), node[i]), node[j]))
+                        held.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), least_shared(size[i], size[j], similarity)))
                         n += len(j)
                     if n > 1 << 16:
                         yield out(held)
@@ -171,12 +217,21 @@ def _second_look(rows: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield out(held)
 
-    rows = rows.select("s", "node", "size", "at", "component").repartition(n_parts(rows.sparkSession), "s").sortWithinPartitions("s")
-    return rows.mapInArrow(run, "a long, b long")
+    rows = rows.select("s", "node", "size", "component").repartition(n_parts(rows.sparkSession), "s").sortWithinPartitions("s")
+    met = rows.mapInArrow(run, "a long, b long, need int").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("need").alias("need"))
+    return met.where("shared >= need").select("a", "b", "shared")
+
 
+def _texts(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, text of the points in ``pairs``."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = saved(points.join(nodes, "node").select("node", "least.*"), "needed")
+    few = needed.count() <= TOLD
+    return saved(docs.join(F.broadcast(needed) if few else needed, KEY).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-def _similar(pairs: DataFrame, points: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The candidates whose whole sets are similar enough."""
+
+def _similar(pairs: DataFrame, docs: DataFrame, points: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The candidates whose whole sets are similar enough, as a saved table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,48 +240,42 @@ def _similar(pairs: DataFrame, points: DataFrame, shingle: int, similarity: floa
                 if a != last:
                     last, left = a, shingle_set(words_of(x.as_py()), shingle)
                 right = shingle_set(words_of(y.as_py()), shingle)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(both >= enough(len(left), len(right), similarity))
+                both = np.sort(np.concatenate([left, right]))
+                keep.append(int((both[1:] == both[:-1]).sum()) >= enough(len(left), len(right), similarity))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
-    of = lambda c: points.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "pairs")
+    texts = _texts(docs, points, pairs)
+    of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    return saved(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
 
 
-def groups(points: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``points(node, text)``, one row a node -> node, component: points with similar ones, and the least node that links reach."""
-    seen = saved(_first_look(prefixes(points, shingle, similarity), similarity), "candidates")
-    links = saved(_similar(seen.where("b is not null").select("a", "b"), points, shingle, similarity), "links")
-    first = saved(components(links), "components")
-    sizes = saved(seen.where("b is null").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).join(first, "node", "left").withColumn("component", F.coalesce("component", "node")), "sizes")
-    rows = attach(seen.where("b is null").select("s", F.col("a").alias("node"), "size", "at"), sizes, ["node"], "n", "s")
-    more = _similar(saved(_second_look(rows, similarity), "candidates"), points, shingle, similarity)
-    return components(saved(links.union(more), "links"))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, Column]]:
+    """KEY and text (null: empty) of each row, and the expressions of KEY. A null id comes after all others."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = {"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_key": F.xxhash64(text)}
+    return docs.select(*[c.alias(k) for k, c in key.items()], text.alias("text")), key
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group of near-duplicates: that of the least id, and of rows that share it the one whose text hashes least.
+def groups(docs: DataFrame, points: DataFrame, near: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` (KEY, text), ``points`` (node, least: the KEY of a row) and ``near`` (a, b: candidates from elsewhere) -> node, component.
 
-    Texts are near-duplicates if the Jaccard similarity of their word shingles is ``similarity`` or more, and so are those that such texts
-    link. Null, empty and white texts are equal to each other and similar to nothing else. A null id comes after all others. Rows with equal
-    ids are rows of their own. Other columns go with the row; no rows give no rows.
+    A row for each point that has a similar one; component is the least node that links reach. All links are found, whatever ``near`` has;
+    what it has joined is not compared again where many points meet.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = {"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_key": F.xxhash64(text)}
-    rows = docs.select(*[c.alias(k) for k, c in key.items()], text.alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes = np.fromiter((point(words_of(t.as_py())) for t in b.column(3)), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes)], names=["_none", "_id", "_key", "text", "node"])
-
-    rows = rows.mapInArrow(run, "_none boolean, _id long, _key long, text string, node long")
-    rows = saved(rows, "nodes")
-    points = saved(rows.groupBy("node").agg(F.first("text").alias("text"), F.min(F.struct("_none", "_id", "_key")).alias("least")), "points")
-    group = groups(points.select("node", "text"), shingle, similarity)
-    least = points.select("node", "least").join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
-    least = least.select("least.*").distinct()
-    taken = docs.withColumns(key).join(least, ["_none", "_id", "_key"], "left_semi")
-    one = taken.groupBy("_none", "_id", "_key").agg(F.first(F.struct(*docs.columns)).alias("_row"))
-    return one.select("_row.*")
+    seen = saved(_first_look(prefixes(docs, shingle, similarity), similarity), "candidates")
+    links = _similar(seen.where("b is not null").select("a", "b").union(near.select("a", "b")), docs, points, shingle, similarity)
+    first = saved(components(links), "components")
+    rest = seen.where("b is null").select("s", F.col("a").alias("node"), "size")
+    sizes = rest.groupBy("node").agg(F.count("*").alias("n")).join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    met = saved(_second_look(attach(rest, saved(sizes, "sizes"), ["node"], "n", "s"), similarity), "candidates")
+    # what shares most goes first; after it, only what is still apart
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
+    met = saved(met.withColumn("rank", rank), "ranked")
+    links = saved(links.union(_similar(met.where(F.col("rank") <= NEXT), docs, points, shingle, similarity)), "links")
+    second = saved(components(links), "components")
+    side = lambda c: second.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    apart = ~F.coalesce("of_a", "a").eqNullSafe(F.coalesce("of_b", "b"))
+    apart = met.where(F.col("rank") > NEXT).join(side("a"), "a", "left").join(side("b"), "b", "left").where(apart)
+    last = _similar(apart, docs, points, shingle, similarity)
+    return second if last.isEmpty() else components(links.union(last))

@@ -17,9 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringloom.llm import overlap
 from ringloom.llm._common import attach, n_parts, saved
 from ringloom.llm.graph import components
 
@@ -201,15 +202,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return attach(prints, points, ["fp"], "n", id_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: that of its least id; of rows that share this id, one stays.
+def wide_fingerprint(words: list[bytes], shingle: int) -> int:
+    """SimHash of a word sequence by its shingles of any width, repeats included; signed, 0 for no words."""
+    h = overlap.shingle_hashes(words, shingle)
+    if not len(h):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 255 * 64):
+        ones += _ones(h[at : at + 255 * 64])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
+
 
-    A row without an id cannot stand for its group, nor be told from others; such rows stay.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near-duplicates: that of the least id, and of rows that share it the one whose text hashes least.
+
+    Texts are near-duplicates if the Jaccard similarity of their word shingles is ``similarity`` or more, and so are those that such texts
+    link. The grid range-join of the fingerprints of these shingles finds candidates, which are verified on the whole sets. A similarity
+    of 0.8 leaves about ten of 64 bits different, more than any grid can bridge, so ``overlap`` adds the links that the grid doesn't see.
+    Null, empty and white texts are equal to each other and similar to nothing else. A null id comes after all others. Rows with equal
+    ids are rows of their own. Other columns go with the row; no rows give no rows.
     """
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    named = docs.join(kept, id_col, "left_semi").withColumn("_one", one).where("_one = 1").select(*docs.columns)
-    return named.union(docs.where(F.col(id_col).isNull()))
+    texts, key = overlap.keyed(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [overlap.words_of(t.as_py()) for t in b.column(3)]
+            node, fp = [overlap.point(w) for w in words], [wide_fingerprint(w, shingle) for w in words]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.int64()), pa.array(fp, pa.int64())], names=[*overlap.KEY, "node", "fp"])
+
+    rows = texts.mapInArrow(run, "_none boolean, _id long, _key long, node long, fp long")
+    points = saved(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(*overlap.KEY)).alias("least")), "points")
+    near = saved(links(points), "near")
+    group = overlap.groups(texts, points, near, shingle, similarity)
+    least = points.join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
+    least = saved(least.select("least.*").distinct(), "kept")
+    return docs.withColumns(key).join(least, overlap.KEY, "left_semi").dropDuplicates(overlap.KEY).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Near-duplicates of the pipeline against brute force over all pairs."""
 
+import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from ringloom.llm import overlap
+from ringloom.llm import graph, overlap, simhash
 from tests.llm.conftest import messy_rows
 from tests.llm.test_text_operators import components
 
@@ -51,16 +53,16 @@ def test_all_pairs_at_the_similarity_are_found(spark):
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for similarity in (0.8, 0.5):
-        got = Counter(r["doc_id"] for r in overlap.keep_one(docs, similarity=similarity).collect())
+        got = Counter(r["doc_id"] for r in simhash.keep_one(docs, similarity=similarity).collect())
         assert got == survivors(rows, similarity)
     assert 12 < len(survivors(rows)) < len(rows)
 
 
 def test_rows_without_ids_and_repeated_ids(messy, nothing):
     rows = [(r[0], r[1]) for r in messy_rows()]
-    got = overlap.keep_one(messy)
+    got = simhash.keep_one(messy)
     assert got.schema == messy.schema and Counter(r["doc_id"] for r in got.collect()) == survivors(rows)
-    assert overlap.keep_one(nothing).count() == 0
+    assert simhash.keep_one(nothing).count() == 0
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
@@ -69,3 +71,41 @@ def test_stage_keeps_one_of_each_group(spark, size):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     got = Counter(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
     assert got == survivors(rows)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_similar_sets_share_as_much_of_their_prefixes_as_is_asked(similarity):
+    r = random.Random(11)
+    for _ in range(400):
+        both, a, b = r.randrange(1, 60), r.randrange(20), r.randrange(20)
+        sets = r.sample(range(10**6), both + a + b)
+        left, right = sorted(sets[: both + a]), sorted(sets[:both] + sets[both + a :])
+        if both < similarity * len(sets):
+            continue
+        prefix = [set(x[: len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1]) for x in (left, right)]
+        assert len(prefix[0] & prefix[1]) >= overlap.least_shared(np.int32(len(left)), np.int32(len(right)), similarity)
+
+
+def test_shingles_are_told_apart_by_words_and_order():
+    for n in range(1, 8):
+        words = [b"%d" % i for i in range(n)]
+        seen = {overlap.shingle_hashes(list(p)).tobytes() for p in itertools.permutations(words)}
+        assert len(seen) == len(list(itertools.permutations(words)))
+        assert len(overlap.shingle_hashes(words)) == max(1, n - 4)
+    again = [b"a", b"b", b"c", b"d", b"e"] * 3
+    assert len(overlap.shingle_set(again)) == 5 and len(overlap.shingle_hashes(again)) == 11
+
+
+def test_small_and_large_graphs_give_the_same(spark, monkeypatch):
+    r = random.Random(2)
+    edges = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(300)] + [(5, 5), (None, 3), (7, None)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = sorted(map(tuple, graph.components(df).collect()))
+    monkeypatch.setattr(graph, "FEW", 10)
+    assert few == sorted(map(tuple, graph.components(df).collect())) and len(few) > 200
+
+
+def test_the_state_of_many_edges_does_not_overflow(spark):
+    edges = spark.range(20_000_000).selectExpr("id + 1 as u", "id as v")
+    assert graph._state(edges)[0] == 20_000_000 and graph._state(edges) == graph._state(edges.repartition(3))
+    assert graph._state(edges) != graph._state(edges.where("v != 77").union(edges.where("v = 77").selectExpr("u + 1", "v")))
