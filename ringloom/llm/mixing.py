@@ -31,7 +31,7 @@ STEPS, CLOSE = 100, 1e-4
 EASE, FIRM = 1e-4, 1e-8
 #: Shares of tokens by domain: documents that pass, with a trace of toxic ones, and no junk.
 TARGETS = {"clean": 0.98, "toxic": 0.02, "junk": 0.0}
-_ALL = "#all"
+_ALL, _MARKS = "#all", ".,;:?!#$%&*|\"'()\t\r"
 
 
 def label_domain() -> Column:
@@ -40,16 +40,19 @@ def label_domain() -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_key, tokens and terms: the distinct words of the whole text, with a term for each surface trait, and one that all have."""
+    """id, text_key, tokens (words between spaces and line ends) and terms: the distinct words of the whole text without the marks around
+    them, with a term for each surface trait, and one that all have.
+
+    A text is cut once, at a single character, and lowered once: these passes are most of what the operator costs.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.filter(F.split(F.lower(text), r"[\s.,;:?!#$%&*|]+"), lambda w: w != "")
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"), words.alias("words"))
-    out = out.withColumns({"tokens": F.size("words").cast("long"), "terms": F.array_distinct("words")})
+    words = F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text")).withColumn("words", words)
+    out = out.withColumns({"tokens": F.size(F.array_remove("words", "")).cast("long"), "terms": F.array_remove(F.array_distinct("words"), ""), "loud": F.regexp_count("text", F.lit("[A-Z!#$%&*|]")), "long": F.length("text")})
     tenth = lambda part, whole: F.floor(10 * part / F.greatest(whole, F.lit(1))).cast("string")
-    upper = F.length("text") - F.length(F.regexp_replace("text", "[A-Z]+", ""))
-    marks = F.length("text") - F.length(F.regexp_replace("text", "[!#$%&*|]+", ""))
-    traits = [F.lit(_ALL), F.concat(F.lit("#variety"), tenth(F.size("terms"), F.col("tokens")), F.lit("/"), F.length(F.col("tokens").cast("string")).cast("string")), F.concat(F.lit("#upper"), tenth(upper, F.length("text"))), F.concat(F.lit("#marks"), tenth(marks, F.length("text") / 2))]
-    return out.select("id", "text_key", "tokens", F.concat("terms", F.array(*traits)).alias("terms"))
+    traits = [F.lit(_ALL), F.concat(F.lit("#variety"), tenth(F.size("terms"), F.col("tokens")), F.lit("/"), F.length(F.col("tokens").cast("string")).cast("string")), F.concat(F.lit("#loud"), tenth(F.col("loud"), F.col("long") / 2))]
+    bare = F.transform("terms", lambda w: F.btrim(w, F.lit(_MARKS)))
+    return out.select("id", "text_key", "tokens", F.concat(bare, F.array(*traits)).alias("terms"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, domain: Column, names: list[str], id_col: str, text_col: str, sample: int = SAMPLE) -> DataFrame:
@@ -60,7 +63,7 @@ def learn(docs: DataFrame, labels: DataFrame, domain: Column, names: list[str],
     drawn = known.where(F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) < min(1.0, sample / max(1, n)) * (1 << 30))
     drawn = F.broadcast(drawn)  # about ``sample`` rows
     few = docs.join(drawn.select(F.col("id").alias(id_col)), id_col, "left_semi")  # only their texts are cut into words
-    seen = _rows(few, id_col, text_col).join(drawn, "id").select("domain", F.explode("terms").alias("term"))
+    seen = _rows(few, id_col, text_col).join(drawn, "id").select("domain", F.explode_outer(F.array_distinct("terms")).alias("term"))
     counts = [F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(names)]
     terms = saved(seen.groupBy("term").agg(*counts), "terms")
     of = terms.where(F.col("term") == _ALL).first()
@@ -80,8 +83,13 @@ def learn(docs: DataFrame, labels: DataFrame, domain: Column, names: list[str],
 
 
 def posteriors(rows: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
-    """id, text_key, tokens, copies_in, p0, p1, ...: one row for all rows with the same id and text."""
-    found = rows.select("id", "text_key", "tokens", F.explode("terms").alias("term")).join(F.broadcast(vocabulary), "term")
+    """id, text_key, tokens, copies_in, p0, p1, ...: one row for all rows with the same id and text.
+
+    Only telling terms become rows (``vocabulary`` has WORDS + 1 of them at most), and by ``explode_outer``: ``explode`` lets the optimizer put a
+    filter on the size of its array below the projections, which would cut every text into words again.
+    """
+    telling = F.array_intersect("terms", F.array(*[F.lit(r["term"]) for r in vocabulary.select("term").collect()]))
+    found = rows.select("id", "text_key", "tokens", F.explode_outer(telling).alias("term")).join(F.broadcast(vocabulary), "term")
     n = F.count_if(F.col("term") == _ALL)
     scores = found.groupBy("id", "text_key").agg(F.first("tokens").alias("tokens"), n.alias("copies_in"), *[(F.sum(f"w{i}") / n).alias(f"w{i}") for i in range(k)])
     top = F.greatest(*[f"w{i}" for i in range(k)]) if k > 1 else F.col("w0")
