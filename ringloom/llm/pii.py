@@ -1,17 +1,20 @@
 """Personal data by patterns and by a linear-chain conditional random field.
 
 The patterns find addresses, numbers and the like as they are usually written. The random field finds what they miss: bracketed
-mail addresses, phone numbers without a plus, cards and addresses with unusual separators. It is trained on a small
-labelled table, over features of word shapes, and decoded by Viterbi in numpy batches.
+mail addresses, phone numbers without a plus, cards and addresses with unusual separators, and secrets (passwords, keys, tokens), for
+which there is no pattern. It is trained on a small labelled table, over features of word shapes, and decoded by Viterbi in numpy batches.
 
-A word can only carry a label if it has a digit, an @ or a bracketed "at" or "dot", or stands beside such a bracket. All other words
-are O by definition, so the chain falls apart into short runs of open words; decoding these is decoding the whole text.
-A span that the field adds must pass the check of its kind and must not touch a span of the patterns.
+A word can only carry a label if it has a digit, an @, a bracketed "at" or "dot" or the name of a secret in front of = or :, or stands beside
+such a bracket. All other words are O by definition, so the chain falls apart into short runs of open words; decoding these is decoding
+the whole text. A span that the field adds must pass the check of its kind and must not touch a span of the patterns. All steps take time
+in proportion to the text, but for a logarithm.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -23,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: What spans can be: the kinds of the patterns, and what only the field finds.
+ALL_KINDS = (*KINDS, "secret")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match that could start inside a run of digits could start at the run's first digit, so only these are tried.
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -41,7 +46,7 @@ def luhn(digits: str) -> bool:
 
 def valid(kind: str, text: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in re.findall("[0-9]+", text))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in re.findall("[0-9]+", text)))  # int() refuses very long runs
     digits = "".join(_DIGIT.findall(text))
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
@@ -73,9 +78,14 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the random field -------------------------------------------------------------------------------------------
 
-LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+LABELS = ("O", *(f"{p}-{k}" for k in ALL_KINDS for p in "BI"))
 _AT, _DOT = re.compile(r"[\[({<]at[\])}>]", re.I), re.compile(r"[\[({<](?:dot|\.)[\])}>]", re.I)
-_OPEN = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]", re.I)
+#: Names of secrets, fixed.
+_NAMES = r"passwd|password|passphrase|pwd|pin|secret|token|bearer|credential|api_?key|access_?key|private_?key|auth_?key|key"
+_OPEN = re.compile(rf"[0-9@]|[\[({{<](?:at|dot)[\])}}>]|(?:{_NAMES})[=:](?=\S)", re.I)
+_NAMED = re.compile(rf"(?:^|[^a-z])(?:{_NAMES})s?[\"']?$", re.I)
+#: Cells (runs times words of the longest) of a batch of the decoder.
+CELLS = 1 << 15
 _WORD = re.compile(r"\S+")
 _FORBIDDEN = -1e4
 
@@ -100,8 +110,12 @@ def word_features(words: list[str], i: int) -> list[str]:
     digits = sum(c.isdigit() for c in w)
     shape = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in w.rstrip(".,;:!?"))[:40])
     before = words[i - 1].strip(".,;:!?()[]").lower() if i else ""
+    value = w.rstrip(".,;:!?").strip("\"'`<>()")
+    cut = max(value.rfind("="), value.rfind(":")) + 1
+    named = value[: cut - 1] if cut else words[i - 1].rstrip("=:") if i and words[i - 1][-1] in "=:" and len(words[i - 1]) > 1 else words[i - 2] if i > 1 and words[i - 1] in ("=", ":", ":=", "=>", "is") else ""
+    value = value[cut:]
     out = ["bias", f"shape={shape[:16]}", f"digits={min(digits, 20)}", f"long={min(len(w), 24) // 4}", f"before={before if before.isalpha() else '9' if before else ''}"]
-    for name, hit in (("at", "@" in w), ("bracket_at", _AT.search(w)), ("bracket_dot", _DOT.search(w)), ("letters", any(c.isalpha() for c in w)), ("all_digits", digits == len(w)), ("plus", w[0] == "+"), ("hex", re.fullmatch(r'["\']?[0-9a-f]{12,}["\']?', w))):
+    for name, hit in (("at", "@" in w), ("bracket_at", _AT.search(w)), ("bracket_dot", _DOT.search(w)), ("letters", any(c.isalpha() for c in w)), ("all_digits", digits == len(w)), ("plus", w[0] == "+"), ("hex", re.fullmatch(r"[0-9a-f]{16,}", value)), ("named", named and _NAMED.search(named)), ("quoted", w[0] in "\"'`"), ("mixed", len(value) > 15 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)), ("capitals", re.fullmatch(r"(?=.*[A-Z])[A-Z0-9]{16,}", value)), ("varied", len(value) > 15 and len(set(value)) > 9)):
         if hit:
             out.append(name)
     for name, j in (("next", i + 1), ("prev", i - 1)):
@@ -161,10 +175,12 @@ def _after(text: str, at: int) -> list[tuple[int, int]]:
     return [m.span()] if m else []
 
 
-def labelled_table(rows: int = 400, seed: int = 7) -> list[tuple[str, list[Span]]]:
+def labelled_table(rows: int = 1000, seed: int = 7) -> list[tuple[str, list[Span]]]:
     """The small labelled table: sentences with the spans in them, filled from templates by a seeded generator."""
     r = random.Random(seed)
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    of = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    d = lambda n: of("0123456789", n)
+    low, cap = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     name = lambda: r.choice(["anna", "j.smith", "maria_lopez", "kurt.w", "info", "p.dupont", "lee42", "sales"])
     host = lambda: r.choice(["example", "mail7", "acme", "uni-bonn", "corp"])
     end = lambda: r.choice(["com", "org", "de", "fr", "es", "net"])
@@ -174,29 +190,45 @@ def labelled_table(rows: int = 400, seed: int = 7) -> list[tuple[str, list[Span]
         full = next(body + c for c in "0123456789" if luhn(body + c))
         return sep.join(full[i : i + 4] for i in range(0, 16, 4))
 
+    def secret() -> str:
+        return r.choice([lambda: of("0123456789abcdef", r.choice([24, 32, 40, 48, 64])), lambda: of(low + cap + "0123456789", r.randint(18, 44)), lambda: of(cap + "0123456789", r.randint(16, 24)), lambda: f"{of(low, 2)}_{of(low, 4)}_{of(low + cap + '0123456789', 24)}", lambda: of(low + cap + "0123456789+/", 40)])()
+
+    def short() -> str:
+        return of(low, r.randint(3, 8)) + r.choice(["", of("!$#%&_", 1)]) + d(r.randint(1, 5))
+
+    called = lambda: r.choice(["password", "passwd", "pwd", "secret", "token", "key", "api_key", "apikey", "API_KEY", "access_key", "PASSWORD", "auth_key", "client_secret"])
+    quoted = lambda x: r.choice(["{}", "{}", "'{}'", '"{}"', '"{}"']).format(x)
     made = {
         "email": [lambda: f"{name()} [at] {host()} [dot] {end()}", lambda: f"{name()} (at) {host()} (dot) {end()}", lambda: f"{name()}[at]{host()}[dot]{end()}", lambda: f"{name()}(at){host()}.{end()}", lambda: f"{name()} [at] {host()}.{end()}", lambda: f"{name()}@{host()}"],
         "ip": [lambda: f"{r.randint(1, 255)}[.]{r.randint(0, 255)}[.]{r.randint(0, 255)}[.]{r.randint(0, 255)}", lambda: f"{r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}[.]{r.randint(0, 255)}"],
         "card": [lambda: card("."), lambda: card("/"), lambda: card("_")],
         "phone": [lambda: f"({d(3)}) 555-{d(4)}", lambda: f"{d(3)}-555-{d(4)}", lambda: f"{d(3)}.555.{d(4)}", lambda: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"0{d(3)}/{d(7)}", lambda: f"00{d(2)} {d(3)} {d(7)}"],
+        "secret": [lambda: quoted(secret()), lambda: secret()],
     }
-    other = [lambda: d(4), lambda: f"{d(2)}.{d(2)}.20{d(2)}", lambda: f"20{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(1)}.{d(1)}.", lambda: f"AKIA{d(3)}XQ{d(4)}B", lambda: f'"{d(7)}ab{d(9)}cd{d(6)}"', lambda: f"password={d(3)}ef{d(5)}", lambda: f"{d(2)},{d(3)}.{d(2)}", lambda: d(16), lambda: d(10), lambda: f"{d(2)}:{d(2)}", lambda: f"v{d(1)}.{d(2)}", lambda: f"#{d(5)}", lambda: f"{d(2)}%", lambda: f"{d(3)} {d(3)}", lambda: f"ISBN {d(3)}-{d(1)}-{d(5)}-{d(3)}-{d(1)}", lambda: f"[{d(1)}]", lambda: f"({d(4)})", lambda: f"{d(3)}-{d(2)}", lambda: f"{d(1)} {d(1)} {d(1)} {d(1)}", lambda: "@ noon", lambda: "@anna"]
-    lead = {"email": ["write to", "mail", "contact:", "reach", ""], "ip": ["host", "from", "server", ""], "card": ["card", "visa", "paid with", ""], "phone": ["call", "tel", "phone:", "fax", ""]}
+    hash_of = lambda: of("0123456789abcdef", r.choice([7, 8, 12]))
+    other = [lambda: d(4), lambda: f"{d(2)}.{d(2)}.20{d(2)}", lambda: f"20{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(1)}.{d(1)}.", lambda: f"{d(2)},{d(3)}.{d(2)}", lambda: d(16), lambda: d(10), lambda: f"{d(2)}:{d(2)}", lambda: f"v{d(1)}.{d(2)}", lambda: f"#{d(5)}", lambda: f"{d(2)}%", lambda: f"{d(3)} {d(3)}", lambda: f"ISBN {d(3)}-{d(1)}-{d(5)}-{d(3)}-{d(1)}", lambda: f"[{d(1)}]", lambda: f"({d(4)})", lambda: f"{d(3)}-{d(2)}", lambda: f"{d(1)} {d(1)} {d(1)} {d(1)}", lambda: "@ noon", lambda: "@anna", lambda: f"commit {hash_of()}", lambda: f"https://{host()}.{end()}/{of(low, 9)}/{d(4)}/{of(low, 14)}-{d(2)}", lambda: f"{of(low, 9)}_{of(low, 8)}_{d(2)}.{r.choice(['csv', 'txt', 'py'])}", lambda: f"{of(cap, 3)}-{d(5)}", lambda: f"{of(low, 12)}{d(1)}{of(low, 8)}", lambda: f"key {d(1)}", lambda: f"token {d(2)} of {d(3)}", lambda: f"the key: {d(1)}", lambda: f"{of(cap, r.randint(8, 17))}!{d(2)}"]
+    lead = {"email": ["write to", "mail", "contact:", "reach", ""], "ip": ["host", "from", "server", ""], "card": ["card", "visa", "paid with", ""], "phone": ["call", "tel", "phone:", "fax", ""], "secret": ["export", "set", "use", ""]}
     words = "the of und der les que and ering tion ment are from".split()
     out = []
     for i in range(rows):
         text, spans = " ".join(r.choices(words, k=r.randint(0, 4))), []
         for _ in range(r.randint(1, 2)):
             if i % 2:
-                kind = r.choice(KINDS)
+                kind = r.choice(ALL_KINDS)
                 text = f"{text} {r.choice(lead[kind])}".strip()
                 item = r.choice(made[kind])()
+                if kind == "secret":
+                    text = f"{text} {r.choice(['', '', f'{called()} =', f'{called()}:', f'{called()} :', f'{called()} is'])}".strip()
+                    if r.random() < 0.3:
+                        item = f"{called()}{r.choice('=:')}{quoted(r.choice([secret, short])())}"
+                    elif text and text[-1] in "=:":
+                        item = quoted(r.choice([secret, secret, short])())
                 at = len(text) + bool(text)
                 spans.append((kind, at, at + len(item)))
             else:
                 item = r.choice(other)()
             text = f"{text} {item}".strip() + r.choice(["", "", ".", ","]) + " " + " ".join(r.choices(words, k=r.randint(1, 4)))
-        out.append((text, spans))
+        out.append((text, [(k, *_trimmed(k, text, s, e)) if k == "secret" else (k, s, e) for k, s, e in spans]))
     return out
 
 
@@ -219,8 +251,10 @@ class Field:
         """Viterbi over many runs at once: runs of like length form a batch."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(emissions)
         order = sorted(range(len(emissions)), key=lambda i: -len(emissions[i]))
-        for at in range(0, len(order), 512):
-            rows = order[at : at + 512]
+        at = 0
+        while at < len(order):
+            rows = order[at : at + max(1, CELLS // max(1, len(emissions[order[at]])))]
+            at += len(rows)
             lengths = np.array([len(emissions[i]) for i in rows])
             score = np.stack([emissions[i][0] for i in rows]) + self.start
             back = np.zeros((int(lengths[0]), len(rows), len(LABELS)), np.int8)
@@ -241,7 +275,9 @@ class Field:
 
 
 def run_words(text: str, run: list[tuple[int, int]]) -> list[str]:
-    return [text[s:e] for s, e in [*_before(text, run[0][0]), *run]]
+    """The words of the run after up to two words before it."""
+    one = _before(text, run[0][0])
+    return [text[s:e] for s, e in [*(_before(text, one[0][0]) if one else []), *one, *run]]
 
 
 def train(table: list[tuple[str, list[Span]]], rounds: int = 150, rate: float = 0.3, decay: float = 0.01) -> Field:
@@ -253,36 +289,42 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 150, rate: float =
             words = run_words(text, run)
             runs.append([[names.setdefault(f, len(names)) for f in word_features(words, i)] for i in range(len(words) - len(run), len(words))])
             gold.append([next((LABELS.index(("B-" if s <= a else "I-") + kind) for kind, a, b in spans if s < b and e > a), 0) for s, e in run])
-    n, longest = len(runs), max(map(len, runs))
+    order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))  # the runs that go on at step t are the first ones
+    runs, gold = [runs[i] for i in order], [gold[i] for i in order]
+    n, longest = len(runs), len(runs[0])
     length = np.array([len(r) for r in runs])
-    x = np.zeros((n, longest, len(names)))
+    going = [int((length > t).sum()) for t in range(longest)]
+    real = np.arange(longest)[None] < length[:, None]
+    x = np.zeros((int(length.sum()), len(names)))  # a row for each word, in the order of ``real``
     y = np.zeros((n, longest, len(LABELS)))
-    for i, r in enumerate(runs):
-        for t, f in enumerate(r):
-            x[i, t, f] = 1
-            y[i, t, gold[i][t]] = 1
-    flat = x.reshape(-1, len(names))
-    mask = (np.arange(longest)[None] < length[:, None])[..., None]
+    for row, f in zip(x, (f for r in runs for f in r), strict=True):
+        row[f] = 1
+    for i, r in enumerate(gold):
+        y[i, np.arange(len(r)), r] = 1
+    mask = real[..., None]
     w, moves, start = np.zeros((len(names), len(LABELS))), np.zeros_like(ALLOWED), np.zeros(len(LABELS))
     never = np.array([_FORBIDDEN if k[0] == "I" else 0.0 for k in LABELS])
     squares = [np.full_like(p, 1e-6) for p in (w, moves, start)]
     seen = np.einsum("nti,ntj->ij", y[:, :-1], y[:, 1:])
     lse = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
     for _ in range(rounds):
-        e, tr = (flat @ w).reshape(n, longest, -1), moves + ALLOWED
+        e, tr = np.zeros_like(y), moves + ALLOWED
+        e[real] = x @ w
         fwd, bwd = np.zeros_like(e), np.zeros_like(e)
         fwd[:, 0] = e[:, 0] + start + never
         for t in range(1, longest):
-            fwd[:, t] = np.where(mask[:, t], lse(fwd[:, t - 1, :, None] + tr, 1) + e[:, t], fwd[:, t - 1])
+            k = going[t]
+            fwd[:k, t] = lse(fwd[:k, t - 1, :, None] + tr, 1) + e[:k, t]
         for t in range(longest - 2, -1, -1):
-            bwd[:, t] = np.where(mask[:, t + 1], lse(tr[None] + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0)
-        z = lse(fwd[:, -1], 1)[:, None]
+            k = going[t + 1]
+            bwd[:k, t] = lse(tr[None] + (e[:k, t + 1] + bwd[:k, t + 1])[:, None, :], 2)
+        z = lse(fwd[np.arange(n), length - 1], 1)[:, None]
         p = np.exp(np.minimum(fwd + bwd - z[..., None], 0)) * mask
         pairs = np.zeros_like(moves)
         for t in range(1, longest):
-            q = np.exp(np.minimum(fwd[:, t - 1, :, None] + tr + (e[:, t] + bwd[:, t])[:, None, :] - z[..., None], 0))
-            pairs += (q * mask[:, t][..., None]).sum(axis=0)
-        grads = [flat.T @ (y - p).reshape(-1, len(LABELS)) - decay * w, seen - pairs - decay * moves, (y[:, 0] - p[:, 0]).sum(axis=0) - decay * start]
+            k = going[t]
+            pairs += np.exp(np.minimum(fwd[:k, t - 1, :, None] + tr + (e[:k, t] + bwd[:k, t])[:, None, :] - z[:k, :, None], 0)).sum(axis=0)
+        grads = [x.T @ (y - p)[real] - decay * w, seen - pairs - decay * moves, (y[:, 0] - p[:, 0]).sum(axis=0) - decay * start]
         for value, g, s in zip((w, moves, start), grads, squares, strict=True):
             s += g * g
             value += rate * g / np.sqrt(s)
@@ -294,11 +336,23 @@ def default_field() -> Field:
     return train(labelled_table())
 
 
+class _Covered:
+    """Whether a stretch touches one of the spans: by bisection in their starts and the furthest end so far."""
+
+    def __init__(self, spans: list[Span]):
+        order = sorted((a, b) for _, a, b in spans)
+        self.starts, self.ends = [a for a, _ in order], list(itertools.accumulate((b for _, b in order), max))
+
+    def __call__(self, s: int, e: int) -> bool:
+        i = bisect.bisect_left(self.starts, e)
+        return bool(i) and self.ends[i - 1] > s
+
+
 def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[list[Span]]:
     """What the field finds beside the base spans: checked, free of overlaps, without the punctuation around it."""
-    where = [(i, run) for i, t in enumerate(texts) for run in open_runs(t)]
+    covered = [_Covered(b) for b in base]
+    where = [(i, run) for i, t in enumerate(texts) for run in open_runs(t) if not all(covered[i](s, e) for s, e in run)]
     out: list[list[Span]] = [[] for _ in texts]
-    where = [(i, run) for i, run in where if not _covered(run, base[i])]
     for (i, run), path in zip(where, field.decode([field.emissions(texts[i], run) for i, run in where]), strict=True):
         at = 0
         while at < len(path):
@@ -307,24 +361,28 @@ def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[
             if label[0] == "B":
                 while end < len(path) and LABELS[path[end]] == f"I-{label[2:]}":
                     end += 1
-                s, e = run[at][0], run[end - 1][1]
-                while e > s and texts[i][e - 1] in ".,;:!?\"'":
-                    e -= 1
-                while s < e and texts[i][s] in "\"',;:":
-                    s += 1
-                part = texts[i][s:e]
-                if _plausible(label[2:], part) and not any(s < b and e > a for _, a, b in [*base[i], *out[i]]):
-                    out[i].append((label[2:], s, e))
+                s, e = _trimmed(label[2:], texts[i], run[at][0], run[end - 1][1])
+                if _plausible(label[2:], texts[i][s:e]) and not covered[i](s, e):
+                    out[i].append((label[2:], s, e))  # runs and their words ascend, so additions don't overlap
             at = end
     return out
 
 
-def _covered(run: list[tuple[int, int]], base: list[Span]) -> bool:
-    """Every word of the run touches a base span: nothing can be added."""
-    return bool(base) and all(any(s < b and e > a for _, a, b in base) for s, e in run)
+def _trimmed(kind: str, text: str, s: int, e: int) -> tuple[int, int]:
+    """Without punctuation around it; a secret also without its name and quotes."""
+    after, before = (".,;:!?\"'`#$%&*)>", "\"',;:`(<") if kind == "secret" else (".,;:!?\"'", "\"',;:")
+    while e > s and text[e - 1] in after:
+        e -= 1
+    named = re.match(rf"[\"']?[\w-]*(?:{_NAMES})[\"']?[=:]", text[s:e], re.I) if kind == "secret" else None
+    s += named.end() if named else 0
+    while s < e and text[s] in before:
+        s += 1
+    return s, e
 
 
 def _plausible(kind: str, text: str) -> bool:
+    if kind == "secret":
+        return len(text) >= 4 and not any(c.isspace() for c in text)
     if kind == "email":
         return bool(_AT.search(text) or re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]", text))
     if kind == "ip" and len(re.findall("[0-9]+", text)) != 4:
@@ -337,7 +395,7 @@ def find(texts: list[str], field: Field | None = None) -> list[tuple[list[Span],
     """(base, all) spans of each whole text; all are ordered by kind, then start."""
     base = [base_spans(t) for t in texts]
     more = added_spans(texts, base, field or default_field())
-    return [(b, sorted(b + m, key=lambda s: (KINDS.index(s[0]), s[1]))) for b, m in zip(base, more, strict=True)]
+    return [(b, sorted(b + m, key=lambda s: (ALL_KINDS.index(s[0]), s[1]))) for b, m in zip(base, more, strict=True)]
 
 
 def joined(spans: list[Span]) -> str:
@@ -368,7 +426,7 @@ def _batches(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each input row: id, counts of the base spans, their digest, and all spans as text.
+    """A row for each input row: id, counts of the base spans, their digest, and all spans as text (kind:start:end by ALL_KINDS, then start).
 
     A null text is empty; equal ids and equal texts are rows of their own; a null id stays null; other columns are not read; no
     rows give no rows. Nothing is shuffled.
