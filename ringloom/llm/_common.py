@@ -12,11 +12,13 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than this share of all rows; so fewer than HOT_KEYS keys are hot.
 HOT_KEYS = 256
+#: Columns that tell a row of documents, by id and text.
+KEY = ["_none", "_id", "_key"]
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -43,6 +45,13 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, Column]]:
+    """KEY and text (null: empty) of each row, and the expressions of KEY. A null id comes after all others."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = {"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_key": F.xxhash64(text)}
+    return docs.select(*[c.alias(k) for k, c in key.items()], text.alias("text")), key
+
+
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, spread: str, total: int | None = None) -> DataFrame:
     """Left join of ``right``, which has one row per key, to ``left``, whose keys may be very uneven.
 

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringloom.llm._common import attach, n_parts, saved
+from ringloom.llm._common import KEY, attach, n_parts, saved
 from ringloom.llm.graph import components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -30,8 +30,8 @@ SAMPLE, OFTEN, FREQUENT = 10_000, 4, 1 << 16
 NEXT = 4
 #: Rows of a table of keys that is broadcast (about 40 bytes each); a larger one is joined by a shuffle.
 TOLD = 1 << 16
-#: Words whose hashes a task remembers, and the columns that tell a row of the documents.
-CACHE, KEY = 1 << 18, ["_none", "_id", "_key"]
+#: Words whose hashes a task remembers.
+CACHE = 1 << 18
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -250,13 +250,6 @@ def _similar(pairs: DataFrame, docs: DataFrame, points: DataFrame, shingle: int,
     return saved(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, Column]]:
-    """KEY and text (null: empty) of each row, and the expressions of KEY. A null id comes after all others."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = {"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_key": F.xxhash64(text)}
-    return docs.select(*[c.alias(k) for k, c in key.items()], text.alias("text")), key
-
-
 def groups(docs: DataFrame, points: DataFrame, near: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` (KEY, text), ``points`` (node, least: the KEY of a row) and ``near`` (a, b: candidates from elsewhere) -> node, component.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringloom.llm import overlap
-from ringloom.llm._common import attach, n_parts, saved
+from ringloom.llm._common import KEY, attach, keyed, n_parts, saved
 from ringloom.llm.graph import components
 
 SHINGLE = 3
@@ -222,21 +222,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Null, empty and white texts are equal to each other and similar to nothing else. A null id comes after all others. Rows with equal
     ids are rows of their own. Other columns go with the row; no rows give no rows.
     """
-    texts, key = overlap.keyed(docs, id_col, text_col)
+    texts, key = keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [overlap.words_of(t.as_py()) for t in b.column(3)]
             node, fp = [overlap.point(w) for w in words], [wide_fingerprint(w, shingle) for w in words]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.int64()), pa.array(fp, pa.int64())], names=[*overlap.KEY, "node", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.int64()), pa.array(fp, pa.int64())], names=[*KEY, "node", "fp"])
 
     rows = texts.mapInArrow(run, "_none boolean, _id long, _key long, node long, fp long")
-    points = saved(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(*overlap.KEY)).alias("least")), "points")
+    points = saved(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(*KEY)).alias("least")), "points")
     near = saved(links(points), "near")
     group = overlap.groups(texts, points, near, shingle, similarity)
     least = points.join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
     least = saved(least.select("least.*").distinct(), "kept")
-    return docs.withColumns(key).join(least, overlap.KEY, "left_semi").dropDuplicates(overlap.KEY).select(*docs.columns)
+    return docs.withColumns(key).join(least, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,15 +318,6 @@ def test_quality(messy, nothing, labels, spark, sf_dir):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.35 * len(bad)
 
 
-def test_quality_rates_against_brute_force(messy, labels):
-    got = {(r["doc_id"], round(r["score"], 12)): r for r in quality.classify(messy, labels).where("doc_id >= 100 and doc_id < 200").collect()}
-    full = quality.classify(messy, labels).collect()
-    assert len(full) == len(DOCS)
-    # a rate lies between the extremes of the scores that it pools
-    low, high = min(r["score"] for r in full), max(r["score"] for r in full)
-    assert all(low - 1e-9 <= r["host_rate"] <= high + 1e-9 and low - 1e-9 <= r["path_rate"] <= high + 1e-9 for r in got.values())
-
-
 def test_sparse_sites_shrink_more(spark):
     from pyspark.sql import functions as F
 
