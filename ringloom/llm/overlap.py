@@ -5,8 +5,9 @@ are sorted. Shingles that a sample of the texts shows often come last, so that t
 are candidates, if the shingles after it can still make up the overlap that is needed; a candidate is compared on the whole sets.
 
 Equal word sequences are one point. Where many points meet, each is first compared with the next few; then only points that are still in
-different components are, so a group of near copies needs no comparison of all its pairs. Of those, only pairs whose prefixes share enough
-shingles are compared on the whole sets. Texts are read again for candidates only.
+different components are, a few for each at first and in the end all, so a group of near copies needs no comparison of all its pairs. A
+parity bitmap of the whole set goes along: bitmaps differ in no more bits than the sets differ in shingles, so pairs that cannot be
+similar are told apart where they meet, without a row for them. Texts are read again for candidates only.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.llm._common import KEY, attach, n_parts, saved
@@ -78,6 +79,46 @@ def shingle_set(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles' counts by their last bits, in 64 words times a power of two; as many bits as shingles at least."""
+    bits = 64
+    while bits < len(shingles):
+        bits *= 2
+    return np.packbits(np.bincount((shingles & (bits - 1)), minlength=bits) & 1).astype(np.uint8).tobytes()
+
+
+class Bitmaps:
+    """The bitmaps of rows, as matrices by length; the longer of two is folded onto the shorter."""
+
+    def __init__(self, maps: list[bytes]):
+        self.length = np.array([len(m) for m in maps])
+        self.at = np.zeros(len(maps), np.int64)
+        self.own, self.folded = {}, {}
+        for n in np.unique(self.length):
+            rows = np.nonzero(self.length == n)[0]
+            self.at[rows] = np.arange(len(rows))
+            m = np.frombuffer(b"".join(maps[i] for i in rows), np.uint64).reshape(len(rows), n // 8)
+            self.own[n] = m
+            while n > 8:
+                n, m = n // 2, m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+                self.folded[len(maps[rows[0]]), n] = m
+                if n * 4 < len(maps[rows[0]]):  # sets of sizes further apart are not similar
+                    break
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits that differ, for each pair; at most the number of shingles that only one of the two sets has."""
+        out = np.zeros(len(i), np.int64)
+        which = self.length[i] << 32 | self.length[j]
+        for code in np.unique(which):
+            k, a, b = np.nonzero(which == code)[0], int(code) >> 32, int(code) & 0xFFFFFFFF
+            n = min(a, b)
+            left = self.own[a] if a == n else self.folded.get((a, n))
+            right = self.own[b] if b == n else self.folded.get((b, n))
+            if left is not None and right is not None:
+                out[k] = np.bitwise_count(left[self.at[i[k]]] ^ right[self.at[j[k]]]).sum(axis=1)
+        return out
+
+
 def enough(a, b, similarity: float):
     """Overlap that sets of these sizes need; the slack keeps rounding from asking for one more."""
     return np.ceil(similarity / (1 + similarity) * (np.asarray(a) + b) - 1e-6).astype(np.int64)
@@ -186,40 +227,48 @@ def _first_look(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, s long, size int")
 
 
-def least_shared(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Shingles that the prefixes of similar sets of these sizes share. All common shingles up to the end of the prefix that ends first lie
-    in both prefixes, so what the whole sets share beyond the prefixes is at most what follows one of them."""
-    after = np.maximum(np.ceil(similarity * a - 1e-6), np.ceil(similarity * b - 1e-6)) - 1
-    return np.maximum(1, enough(a, b, similarity) - after).astype(np.int32)
-
-
-def _second_look(rows: DataFrame, similarity: float) -> DataFrame:
-    """``rows(s, node, size, component)`` -> a, b, shared: candidates whose components differ and whose prefixes share as many shingles as they must."""
+def _second_look(rows: DataFrame, similarity: float, most: int | None) -> DataFrame:
+    """``rows(s, node, size, bits, component)`` -> a, b: candidates whose components differ, ``most`` for each row of a group (None: all)."""
+
+    def meet(group: list[np.ndarray], maps: list[bytes]) -> np.ndarray:
+        s, node, size, component = group
+        n, bits = len(s), Bitmaps(maps)
+        start = np.nonzero(np.append(True, s[1:] != s[:-1]))[0]
+        end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
+        given, found = np.zeros(n, np.int64), []
+
+        def look(i: np.ndarray, j: np.ndarray) -> None:
+            keep = component[i] != component[j]
+            i, j = i[keep], j[keep]
+            need = enough(size[i], size[j], similarity)
+            keep = np.minimum(size[i], size[j]) >= need
+            i, j, need = i[keep], j[keep], need[keep]
+            keep = bits.differ(i, j) <= size[i].astype(np.int64) + size[j] - 2 * need
+            i, j = i[keep], j[keep]
+            given[:] += np.bincount(i, minlength=n)
+            found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+
+        going, k = np.arange(n), 1
+        while len(going):  # rows whose group has a row k places further
+            going = going[going + k < end[going]]
+            if most is not None:
+                going = going[given[going] < most]
+            for at in range(0, len(going), 1 << 16):
+                look(going[at : at + (1 << 16)], going[at : at + (1 << 16)] + k)
+            k += 1
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda held: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["a", "b", "need"])
-        held, n = [], 0
-        for s, node, size, component in _batches_of_groups(batches):
-            starts = np.nonzero(np.append(True, s[1:] != s[:-1]))[0]
-            for lo, hi in zip(starts, np.append(starts[1:], len(s)), strict=True):
-                if (component[lo:hi] == component[lo]).all():
-                    continue
-                for i in range(lo, hi - 1):
-                    j = np.arange(i + 1, hi)
-                    j = j[component[j] != component[i]]
-                    j = j[np.minimum(size[i], size[j]) >= enough(size[i], size[j], similarity)]
-                    if len(j):
-                        held.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), least_shared(size[i], size[j], similarity)))
-                        n += len(j)
-                    if n > 1 << 16:
-                        yield out(held)
-                        held, n = [], 0
-        if held:
-            yield out(held)
-
-    rows = rows.select("s", "node", "size", "component").repartition(n_parts(rows.sparkSession), "s").sortWithinPartitions("s")
-    met = rows.mapInArrow(run, "a long, b long, need int").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("need").alias("need"))
-    return met.where("shared >= need").select("a", "b", "shared")
+        for s, node, size, component, maps in _batches_of_groups(batches):
+            start = np.append(True, s[1:] != s[:-1])
+            group = np.cumsum(start) - 1
+            mixed = np.bincount(group, weights=component != component[np.nonzero(start)[0]][group]) > 0  # groups of several components
+            rows = np.nonzero(mixed[group])[0]
+            pairs = meet([x[rows] for x in (s, node, size, component)], [maps[i] for i in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    rows = rows.select("s", "node", "size", "component", "bits").repartition(n_parts(rows.sparkSession), "s").sortWithinPartitions("s", "node")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _texts(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -251,24 +300,25 @@ def _similar(pairs: DataFrame, docs: DataFrame, points: DataFrame, shingle: int,
 
 
 def groups(docs: DataFrame, points: DataFrame, near: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` (KEY, text), ``points`` (node, least: the KEY of a row) and ``near`` (a, b: candidates from elsewhere) -> node, component.
+    """``docs`` (KEY, text), ``points`` (node, bits: its bitmap, least: the KEY of a row) and ``near`` (a, b: candidates from elsewhere) -> node,
+    component.
 
     A row for each point that has a similar one; component is the least node that links reach. All links are found, whatever ``near`` has;
     what it has joined is not compared again where many points meet.
     """
     seen = saved(_first_look(prefixes(docs, shingle, similarity), similarity), "candidates")
     links = _similar(seen.where("b is not null").select("a", "b").union(near.select("a", "b")), docs, points, shingle, similarity)
-    first = saved(components(links), "components")
+    group = saved(components(links), "components")
     rest = seen.where("b is null").select("s", F.col("a").alias("node"), "size")
-    sizes = rest.groupBy("node").agg(F.count("*").alias("n")).join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    met = saved(_second_look(attach(rest, saved(sizes, "sizes"), ["node"], "n", "s"), similarity), "candidates")
-    # what shares most goes first; after it, only what is still apart
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
-    met = saved(met.withColumn("rank", rank), "ranked")
-    links = saved(links.union(_similar(met.where(F.col("rank") <= NEXT), docs, points, shingle, similarity)), "links")
-    second = saved(components(links), "components")
-    side = lambda c: second.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    apart = ~F.coalesce("of_a", "a").eqNullSafe(F.coalesce("of_b", "b"))
-    apart = met.where(F.col("rank") > NEXT).join(side("a"), "a", "left").join(side("b"), "b", "left").where(apart)
-    last = _similar(apart, docs, points, shingle, similarity)
-    return second if last.isEmpty() else components(links.union(last))
+    counts = saved(rest.groupBy("node").agg(F.count("*").alias("n")).join(points.select("node", "bits"), "node"), "counts")
+    tried = None
+    for most in (NEXT, None):
+        sides = saved(counts.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "sides")
+        met = _second_look(attach(rest, sides, ["node"], "n", "s"), similarity, most).distinct()
+        met = saved(met if tried is None else met.join(tried, ["a", "b"], "left_anti"), "candidates")
+        if met.isEmpty():
+            break
+        tried = met
+        links = saved(links.union(_similar(met, docs, points, shingle, similarity)), "links")
+        group = saved(components(links), "components")
+    return group

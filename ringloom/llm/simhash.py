@@ -228,10 +228,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         for b in batches:
             words = [overlap.words_of(t.as_py()) for t in b.column(3)]
             node, fp = [overlap.point(w) for w in words], [wide_fingerprint(w, shingle) for w in words]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.int64()), pa.array(fp, pa.int64())], names=[*KEY, "node", "fp"])
+            bits = [overlap.bitmap(overlap.shingle_set(w, shingle)) for w in words]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(bits, pa.binary())], names=[*KEY, "node", "fp", "bits"])
 
-    rows = texts.mapInArrow(run, "_none boolean, _id long, _key long, node long, fp long")
-    points = saved(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(*KEY)).alias("least")), "points")
+    rows = texts.mapInArrow(run, "_none boolean, _id long, _key long, node long, fp long, bits binary")
+    points = saved(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("bits").alias("bits"), F.min(F.struct(*KEY)).alias("least")), "points")
     near = saved(links(points), "near")
     group = overlap.groups(texts, points, near, shingle, similarity)
     least = points.join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))

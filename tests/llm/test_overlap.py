@@ -73,17 +73,23 @@ def test_stage_keeps_one_of_each_group(spark, size):
     assert got == survivors(rows)
 
 
-@pytest.mark.parametrize("similarity", [0.8, 0.6])
-def test_similar_sets_share_as_much_of_their_prefixes_as_is_asked(similarity):
-    r = random.Random(11)
-    for _ in range(400):
-        both, a, b = r.randrange(1, 60), r.randrange(20), r.randrange(20)
-        sets = r.sample(range(10**6), both + a + b)
-        left, right = sorted(sets[: both + a]), sorted(sets[:both] + sets[both + a :])
-        if both < similarity * len(sets):
-            continue
-        prefix = [set(x[: len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1]) for x in (left, right)]
-        assert len(prefix[0] & prefix[1]) >= overlap.least_shared(np.int32(len(left)), np.int32(len(right)), similarity)
+def test_bitmaps_differ_in_no_more_bits_than_sets():
+    r = np.random.default_rng(11)
+    sets, maps = [], []
+    for _ in range(60):
+        base = r.integers(-(2**62), 2**62, r.integers(1, 700))
+        for keep in (1.0, 0.9, 0.5):
+            more = r.integers(-(2**62), 2**62, int(len(base) * (1 - keep)))
+            sets.append(np.unique(np.concatenate([base[: max(1, int(len(base) * keep))], more])))
+            maps.append(overlap.bitmap(sets[-1]))
+    i, j = np.triu_indices(len(sets), 1)
+    differ = overlap.Bitmaps(maps).differ(i, j)
+    real = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert (differ <= real).all()
+    size = np.array([len(x) for x in sets])
+    told = differ > size[i] + size[j] - 2 * overlap.enough(size[i], size[j], 0.8)
+    alike = np.minimum(size[i], size[j]) >= overlap.enough(size[i], size[j], 0.8)
+    assert told[alike & (size[i] > 64)].mean() > 0.9
 
 
 def test_shingles_are_told_apart_by_words_and_order():
