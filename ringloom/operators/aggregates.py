@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,10 @@ def parameter_grid(df: DataFrame, params: DataFrame, keys: Sequence[str], hit: C
     if params.limit(101).count() > 100:
         raise ValueError("a parameter table has 100 rows at most")
     return df.crossJoin(F.broadcast(params)).groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+
+
+def appearance_sizes(df: DataFrame, keys: Sequence[str], group: str, order: str) -> DataFrame:
+    """Size of each group, and its place by the first row that it has within the keys."""
+    sizes = df.groupBy(*keys, group).agg(F.count("*").alias("size"), F.min(order).alias("_first"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_first")) - 1
+    return sizes.withColumn("place", place).drop("_first")

@@ -402,3 +402,8 @@ def coverage(matches: DataFrame) -> DataFrame:
     good = matches.where("exact").select("file", "variant").distinct()
     alone = good.groupBy("file").agg(F.count("*").alias("k"))
     return good.join(alone, "file").groupBy("variant").agg(F.count("*").alias("files"), F.count_if(F.col("k") == 1).alias("alone"))
+
+
+def uncovered(matches: DataFrame) -> DataFrame:
+    """matches(file, variant, exact) -> the files that no variant reproduces."""
+    return matches.groupBy("file").agg(F.coalesce(F.bool_or("exact"), F.lit(False)).alias("any")).where("not any").select("file")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringloom.operators import encoders
 from ringloom.plans.registry import query, table
+from ringloom.sources.files import new_folder
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +34,27 @@ TRUTH = "chain3_8_first"
 RIVALS = ["chain3_8_last", "chain8_first", "chain_oldest8"]
 
 
+#: Tables that a session has written, by application, folder of the inputs and name.
+_KEPT: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that encodes or decodes every text is written once in the shared folder, and read by all queries of the session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        df, path = make(), new_folder(spark, name)
+        df.write.parquet(path)
+        _KEPT[key] = (path, df.schema)
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An LF2 file for each document: its bytes, filled up to whole rows, packed by the variant that counts as the truth."""
+    return _kept(spark, sf_dir, "lf2", lambda: _encoded_images(spark, sf_dir))
+
+
+def _encoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     from collections.abc import Iterator
 
     import pandas as pd
@@ -59,7 +79,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ringloom.sources.files import tokens
 
-    return tokens(image_files(spark, sf_dir)).where("_error is null").drop("_error")
+    return _kept(spark, sf_dir, "tokens", lambda: tokens(image_files(spark, sf_dir)).where("_error is null").drop("_error"))
 
 
 _PADDED = "(octet_length(encode(coalesce(text, ''))) + 15) // 16"

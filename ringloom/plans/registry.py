@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from ringloom.plans import codec_queries, relational, sequence_queries  # noqa: E402, F401
+from ringloom.plans import codec_queries, format_queries, relational, sequence_queries  # noqa: E402, F401

@@ -23,11 +23,26 @@ SCHEMAS = {
 
 def read(spark: SparkSession, name: str, path: str, header: bool = True) -> DataFrame:
     """A dataset with its fixed schema; rows that are too short have nulls; ``-`` becomes null."""
-    sep = "\t" if name in ("tiebreaks", "hopeless", "oracle") else ","
-    df = spark.read.csv(path, schema=SCHEMAS[name], sep=sep, header=header, mode="PERMISSIVE", enforceSchema=True)
+    df = spark.read.csv(path, schema=SCHEMAS[name], sep=_separator(name), header=header, mode="PERMISSIVE", enforceSchema=True)
     return df.select(*[F.when(F.col(c) != "-", F.col(c)).alias(c) if kind == "string" and c not in ("file", "filename", "label") else F.col(c) for c, kind in df.dtypes])
 
 
+def _separator(name: str) -> str:
+    return "\t" if name in ("tiebreaks", "hopeless", "oracle") else ","
+
+
+def write(df: DataFrame, name: str, path: str, header: bool = True) -> None:
+    """A dataset in the order of its schema, as CSV or TSV files; null texts become ``-``."""
+    columns = [x.split() for x in SCHEMAS[name].split(", ")]
+    out = df.select(*[F.coalesce(F.col(c).cast(kind), F.lit("-")).alias(c) if kind == "string" else F.col(c).cast(kind) for c, kind in columns])
+    out.write.csv(path, sep=_separator(name), header=header)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Each row as a JSON document; a frame of one row gives one file."""
+    df.write.json(path)
+
+
 def with_hex(df: DataFrame, *columns: str) -> DataFrame:
     """Columns of hex text as numbers."""
     return df.withColumns({c: unhex_text(F.col(c)) for c in columns})

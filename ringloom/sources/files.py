@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +15,22 @@ from ringloom.functions.scalar import extension, file_stem, little_endian
 from ringloom.sources import images
 from ringloom.sources.lzss import Truncated, expand, read_tokens
 
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that doesn't exist yet in the shared folder of the session; one of our own is set only where the session has none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ringloom-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def of_width(df: DataFrame, column: str, width: int) -> DataFrame:
+    """Rows of one width; zero means all."""
+    return df.where(F.col(column) == width) if width else df
+
+
 FORMATS = {"lf2": "LF2", "pdt": "PDT", "pak": "PAK", "scn": "SCN", "g00": "G00"}
 
 
@@ -134,7 +152,7 @@ def write_outputs(made: DataFrame, folder: str) -> None:
     def put(rows: Iterator) -> None:
         from pyarrow import fs
 
-        store, at = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, at = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         store.create_dir(at, recursive=True)
         for r in rows:
             with store.open_output_stream(f"{at}/{r['name']}") as out:

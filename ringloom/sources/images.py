@@ -81,6 +81,20 @@ def read_pdt(data: bytes) -> Image:
     return Image("pdt", w, h, pixels, alpha=alpha)
 
 
+def write_pdt(image: Image) -> bytes:
+    """Literals only, as the format allows; the mask stream is left out where there is no mask."""
+
+    def literals(data: bytes, unit: int) -> bytes:
+        step = 8 * unit
+        return b"".join(b"\xff" + data[i : i + step] for i in range(0, len(data), step))
+
+    n = image.width * image.height
+    stored = b"".join(image.pixels[i + 2 : i + 3] + image.pixels[i + 1 : i + 2] + image.pixels[i : i + 1] for i in range(0, 3 * n, 3))
+    colours, mask = literals(stored, 3), literals(image.alpha, 1)
+    at = 32 + len(colours) if mask else 0
+    return PDT_MAGIC + struct.pack("<3I", 32 + len(colours) + len(mask), image.width, image.height) + bytes(8) + struct.pack("<I", at) + colours + mask
+
+
 def quantise(rgb: bytes, most: int) -> tuple[list[tuple[int, int, int]], bytes]:
     """Palette of the first ``most`` distinct colours, in order of appearance; any other pixel takes the nearest (the first on a tie)."""
     colours = [tuple(rgb[i : i + 3]) for i in range(0, len(rgb) - len(rgb) % 3, 3)]
@@ -136,6 +150,23 @@ def png(image: Image) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, image.height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
+def read_png(data: bytes) -> tuple[int, int, bytes]:
+    """Width, height and RGBA bytes of a PNG as ``png`` writes it; a wrong checksum is an error."""
+    at, body, size = 8, b"", (0, 0)
+    while at < len(data):
+        n, kind = struct.unpack_from(">I", data, at)[0], data[at + 4 : at + 8]
+        part = data[at + 8 : at + 8 + n]
+        if struct.unpack_from(">I", data, at + 8 + n)[0] != zlib.crc32(kind + part):
+            raise ValueError(f"{kind!r}: wrong checksum")
+        if kind == b"IHDR":
+            size = struct.unpack_from(">II", part)
+        elif kind == b"IDAT":
+            body += part
+        at += 12 + n
+    lines, step = zlib.decompress(body), 4 * size[0] + 1
+    return *size, b"".join(lines[i + 1 : i + step] for i in range(0, len(lines), step))
+
+
 SINKS = {"bmp": bmp, "png": png, "raw": rgb, "rgb": rgb, "rgba": rgba}
 
 

@@ -9,7 +9,6 @@ import pytest
 
 from ringloom.plans import registry
 
-SLOW = {"pairwise_features", "variant_agreement", "hopeless_tokens", "variant_divergence", "last_writers", "token_trace", "lzss_sizes"}
 
 
 @pytest.fixture(scope="module")
@@ -35,9 +34,9 @@ def test_same_as_sql(spark, duck, sf_dir, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).limit(1).count() >= 0
+    assert registry.QUERIES[name](spark, sf_dir).limit(1).count() == 1
 
 
 def test_entry(spark):
