@@ -32,6 +32,8 @@ SLACK = 1e-6
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Scaled to length 1; by the largest component first, so that no square over- or underflows."""
+    vectors = vectors / np.abs(vectors).max(axis=1)[:, None]
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
 
 

@@ -1,6 +1,6 @@
 """Document fingerprints: a homomorphic hash of the multiset of paragraphs.
 
-A paragraph is hashed into a wide vector: 16 lanes of 32 bits drawn from the paragraph as a whole, and 256 lanes of 16 bits that
+A paragraph is hashed into a wide vector: 16 lanes of 32 bits, which are the 64 bytes of its BLAKE2b digest, and 256 lanes of 16 bits that
 sum +1 or -1 for each of its five-word shingles. A document's fingerprint is the sum of the vectors of its paragraphs (the
 non-empty lines), each lane modulo its power of two. So the order of paragraphs doesn't matter, and a paragraph is put in or taken
 out by adding or subtracting its vector. The narrow lanes are also a random projection of the counts of shingles, so the cosine
@@ -53,8 +53,10 @@ class Fingerprint:
         if not paragraphs:
             return cls(np.zeros(WIDE, np.uint32), np.zeros(NARROW, np.int16))
         digest = xxhash.xxh64_intdigest
-        whole = np.fromiter(map(digest, paragraphs), np.uint64, len(paragraphs))
-        wide = _spread(whole, WIDE // 2).view(np.uint32).reshape(len(whole), WIDE).sum(axis=0, dtype=np.uint64).astype(np.uint32)
+        # every lane has bits of its own, so paragraphs that clash in one lane don't in the others
+        lanes = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=4 * WIDE).digest() for p in paragraphs), "<u4").reshape(-1, WIDE)
+        wide = lanes.sum(axis=0, dtype=np.uint64).astype(np.uint32)
+        whole = lanes[:, 0].astype(np.uint64) << np.uint64(32) | lanes[:, 1]
         words = [p.split() for p in paragraphs]
         lengths = np.array(list(map(len, words)))
         each = np.fromiter((digest(w) for p in words for w in p), np.uint64, int(lengths.sum()))
