@@ -82,7 +82,7 @@ LABELS = ("O", *(f"{p}-{k}" for k in ALL_KINDS for p in "BI"))
 _AT, _DOT = re.compile(r"[\[({<]at[\])}>]", re.I), re.compile(r"[\[({<](?:dot|\.)[\])}>]", re.I)
 #: Names of secrets, fixed.
 _NAMES = r"passwd|password|passphrase|pwd|pin|secret|token|bearer|credential|api_?key|access_?key|private_?key|auth_?key|key"
-_OPEN = re.compile(rf"[0-9@]|[\[({{<](?:at|dot)[\])}}>]|(?:{_NAMES})[=:](?=\S)", re.I)
+_OPEN = re.compile(r"[0-9@]|[=:](?=\S)|[\[({<](?i:at|dot)[\])}>]")
 _NAMED = re.compile(rf"(?:^|[^a-z])(?:{_NAMES})s?[\"']?$", re.I)
 #: Cells (runs times words of the longest) of a batch of the decoder.
 CELLS = 1 << 15
@@ -130,13 +130,18 @@ def word_features(words: list[str], i: int) -> list[str]:
 
 def open_runs(text: str) -> Iterator[list[tuple[int, int]]]:
     """Maximal runs of open words of one line, each as [start, end) offsets, preceded by the word before (for features)."""
-    hits, at = [], 0
+    hits, at, last, last_start = [], 0, -1, 0
     for m in _OPEN.finditer(text):
         if m.start() < at:
             continue
         start = m.start()
-        while start and not text[start - 1].isspace():
+        while start > max(at, last) and not text[start - 1].isspace():
             start -= 1
+        if start == last:  # in the word of the hit before
+            start = last_start
+        last, last_start = m.start(), start
+        if m[0] in "=:" and not _NAMED.search(text[max(start, last - 24) : last]):
+            continue
         word = _WORD.match(text, start)
         at = word.end()
         hits.append(word.span())

@@ -99,6 +99,15 @@ def test_time_grows_with_the_text():
         assert len(base) == len(full) == n
     assert took[1] < 24 * took[0] + 0.5
     assert pii.find(["12 " * 30_000])[0] == ([], [])
+    began = time.perf_counter()
+    assert pii.find(["a=b:c" * 200_000])[0] == ([], [])
+    assert time.perf_counter() - began < 10
+
+
+def test_words_are_open_where_a_secret_is_named():
+    text = "run it with my-token=abcdefgh now, a=b c:d keyring=z https://x.y and password:qwertyuiop"
+    words = [text[s:e] for run in pii.open_runs(text) for s, e in run]
+    assert words == ["my-token=abcdefgh", "password:qwertyuiop"]
 
 
 def test_slope_of_the_likelihood(monkeypatch):
