@@ -29,10 +29,12 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 SAMPLE, OFTEN, FREQUENT = 10_000, 4, 1 << 16
 #: Rows of a group that a row is compared with before components are known.
 NEXT = 4
+#: Candidates that a row of a group has at most in the first look at what is still apart; the last look has no bound.
+FIRST = 2
 #: Rows of a table of keys that is broadcast (about 40 bytes each); a larger one is joined by a shuffle.
 TOLD = 1 << 16
 #: Words whose hashes a task remembers.
-CACHE = 1 << 18
+CACHE = 1 << 16
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -80,9 +82,9 @@ def shingle_set(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles' counts by their last bits, in 64 words times a power of two; as many bits as shingles at least."""
+    """Parities of the shingles' counts by their last bits, in 64 bits times a power of two; twice as many bits as shingles at least."""
     bits = 64
-    while bits < len(shingles):
+    while bits < 2 * len(shingles):
         bits *= 2
     return np.packbits(np.bincount((shingles & (bits - 1)), minlength=bits) & 1).astype(np.uint8).tobytes()
 
@@ -204,7 +206,7 @@ def _batches_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.nd
 
 
 def _first_look(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: candidates among neighbours; and s, node, size of all groups of two or more points."""
+    """a, b: candidates among neighbours; and s, node, size, at of all groups of two or more points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _batches_of_groups(batches):
@@ -220,29 +222,30 @@ def _first_look(rows: DataFrame, similarity: float) -> DataFrame:
             more = n[which] > 1
             m, c = int(more.sum()), len(pairs)
             col = lambda x, y, t: pa.concat_arrays([pa.array(x, t) if x is not None else pa.nulls(c, t), pa.array(y, t) if y is not None else pa.nulls(m, t)])
-            yield pa.RecordBatch.from_arrays([col(pairs[:, 0], node[more], pa.int64()), col(pairs[:, 1], None, pa.int64()), col(None, s[more], pa.int64()), col(None, size[more], pa.int32())], names=["a", "b", "s", "size"])
+            yield pa.RecordBatch.from_arrays([col(pairs[:, 0], node[more], pa.int64()), col(pairs[:, 1], None, pa.int64()), col(None, s[more], pa.int64()), col(None, size[more], pa.int32()), col(None, at[more], pa.int32())], names=["a", "b", "s", "size", "at"])
 
     # all groups have the same order, so that near copies have the same neighbours in each
     rows = rows.repartition(n_parts(rows.sparkSession), "s").sortWithinPartitions("s", "node")
-    return rows.mapInArrow(run, "a long, b long, s long, size int")
+    return rows.mapInArrow(run, "a long, b long, s long, size int, at int")
 
 
 def _second_look(rows: DataFrame, similarity: float, most: int | None) -> DataFrame:
-    """``rows(s, node, size, bits, component)`` -> a, b: candidates whose components differ, ``most`` for each row of a group (None: all)."""
+    """``rows(s, node, size, at, bits, component)`` -> a, b: candidates whose components differ, ``most`` for each row of a group (None: all).
+
+    A pair has a row where the shingle can be the first that it shares; the others would repeat it.
+    """
 
     def meet(group: list[np.ndarray], maps: list[bytes]) -> np.ndarray:
-        s, node, size, component = group
+        s, node, size, at, component = group
         n, bits = len(s), Bitmaps(maps)
         start = np.nonzero(np.append(True, s[1:] != s[:-1]))[0]
         end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
         given, found = np.zeros(n, np.int64), []
 
         def look(i: np.ndarray, j: np.ndarray) -> None:
-            keep = component[i] != component[j]
+            keep = (component[i] != component[j]) & _fits(size, at, i, j, similarity)
             i, j = i[keep], j[keep]
             need = enough(size[i], size[j], similarity)
-            keep = np.minimum(size[i], size[j]) >= need
-            i, j, need = i[keep], j[keep], need[keep]
             keep = bits.differ(i, j) <= size[i].astype(np.int64) + size[j] - 2 * need
             i, j = i[keep], j[keep]
             given[:] += np.bincount(i, minlength=n)
@@ -253,21 +256,21 @@ def _second_look(rows: DataFrame, similarity: float, most: int | None) -> DataFr
             going = going[going + k < end[going]]
             if most is not None:
                 going = going[given[going] < most]
-            for at in range(0, len(going), 1 << 16):
-                look(going[at : at + (1 << 16)], going[at : at + (1 << 16)] + k)
+            for part in range(0, len(going), 1 << 16):
+                look(going[part : part + (1 << 16)], going[part : part + (1 << 16)] + k)
             k += 1
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, node, size, component, maps in _batches_of_groups(batches):
+        for s, node, size, at, component, maps in _batches_of_groups(batches):
             start = np.append(True, s[1:] != s[:-1])
             group = np.cumsum(start) - 1
             mixed = np.bincount(group, weights=component != component[np.nonzero(start)[0]][group]) > 0  # groups of several components
             rows = np.nonzero(mixed[group])[0]
-            pairs = meet([x[rows] for x in (s, node, size, component)], [maps[i] for i in rows])
+            pairs = meet([x[rows] for x in (s, node, size, at, component)], [maps[i] for i in rows])
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    rows = rows.select("s", "node", "size", "component", "bits").repartition(n_parts(rows.sparkSession), "s").sortWithinPartitions("s", "node")
+    rows = rows.select("s", "node", "size", "at", "component", "bits").repartition(n_parts(rows.sparkSession), "s").sortWithinPartitions("s", "node")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -309,10 +312,10 @@ def groups(docs: DataFrame, points: DataFrame, near: DataFrame, shingle: int = S
     seen = saved(_first_look(prefixes(docs, shingle, similarity), similarity), "candidates")
     links = _similar(seen.where("b is not null").select("a", "b").union(near.select("a", "b")), docs, points, shingle, similarity)
     group = saved(components(links), "components")
-    rest = seen.where("b is null").select("s", F.col("a").alias("node"), "size")
+    rest = seen.where("b is null").select("s", F.col("a").alias("node"), "size", "at")
     counts = saved(rest.groupBy("node").agg(F.count("*").alias("n")).join(points.select("node", "bits"), "node"), "counts")
     tried = None
-    for most in (NEXT, None):
+    for most in (FIRST, None):
         sides = saved(counts.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "sides")
         met = _second_look(attach(rest, sides, ["node"], "n", "s"), similarity, most).distinct()
         met = saved(met if tried is None else met.join(tried, ["a", "b"], "left_anti"), "candidates")

@@ -37,7 +37,7 @@ class _Buckets(dict):
 
     def __missing__(self, word: bytes) -> int:
         k = xxhash.xxh3_64_intdigest(word.strip(_STRIP).lower()) % BUCKETS
-        if len(self) < 1 << 18:
+        if len(self) < 1 << 16:
             self[word] = k
         return k
 

@@ -226,9 +226,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [overlap.words_of(t.as_py()) for t in b.column(3)]
-            node, fp = [overlap.point(w) for w in words], [wide_fingerprint(w, shingle) for w in words]
-            bits = [overlap.bitmap(overlap.shingle_set(w, shingle)) for w in words]
+            node, fp, bits = [], [], []
+            for t in b.column(3):  # the words of one text at a time
+                words = overlap.words_of(t.as_py())
+                node.append(overlap.point(words))
+                fp.append(wide_fingerprint(words, shingle))
+                bits.append(overlap.bitmap(overlap.shingle_set(words, shingle)))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(bits, pa.binary())], names=[*KEY, "node", "fp", "bits"])
 
     rows = texts.mapInArrow(run, "_none boolean, _id long, _key long, node long, fp long, bits binary")
