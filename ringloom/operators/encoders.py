@@ -48,7 +48,7 @@ class Variant:
 
 def _variants() -> dict[str, Variant]:
     base, plain = Variant(), Variant(dummies="none")
-    out = {"basic": base, "no_dummy": plain, "dummy_reversed": replace(base, dummies="reversed"), "one_dummy": replace(base, dummies="one"), "dummy_dropped": replace(base, dummies="dropped")}
+    out = {"basic": base, "no_dummy": plain, "dummy_reversed": replace(base, dummies="reversed"), "one_dummy": replace(base, dummies="one"), "dummy_dropped": replace(base, dummies="dropped"), "dummy_dropped_tail1": replace(base, dummies="dropped", tail="tail1")}
     for name, v in (("basic", base), ("no_dummy", plain)):
         out |= {f"{name}_{x}": replace(v, tie=t) for x, t in (("eq", "last"), ("near", "near"), ("far", "far"), ("dyntie", "short_last"))}
         out |= {f"{name}_left_first": replace(v, order="left_first"), f"{name}_no_swap": replace(v, order="no_swap"), f"{name}_lazy": replace(v, lazy="strict"), f"{name}_lazy_eq": replace(v, lazy="equal"), f"{name}_min4": replace(v, shortest=4)}
@@ -71,6 +71,18 @@ def _variants() -> dict[str, Variant]:
 
 VARIANTS = _variants()
 
+#: The rivals of the report on hopeless tokens and those of the union of all rivals. Basic with a strict tie, which both have beside basic, is the same encoder.
+HOPELESS = [
+    "basic", "no_dummy", "dummy_dropped", "no_dummy_left_first", "no_dummy_tail1", "basic_tail1", "dummy_dropped_tail1", "basic_tail1_full", "no_dummy_tail1_full", "basic_no_init",
+    "basic_no_init_tail1", "no_dummy_no_init_tail1", "dummy_reversed", "uniform_head", "min_bytes_strict", "combo", "no_dummy_literal_blank", "basic_tail1_phantom1", "basic_far", "basic_near",
+]
+UNION = [
+    "basic", "no_dummy", "dummy_dropped", "no_dummy_left_first", "no_dummy_tail1", "basic_tail1", "dummy_dropped_tail1", "basic_tail1_full", "no_dummy_tail1_full", "basic_no_init",
+    "basic_no_init_tail1", "basic_no_init_strict_tail1", "no_dummy_no_init_tail1", "dummy_reversed", "uniform_head", "min_bytes_strict", "combo", "no_dummy_literal_blank",
+]
+#: Basic or no_dummy, by a rule that looks at the data or at both outputs.
+CHOOSERS = ("uniform_head", "min_bytes_strict", "combo")
+
 
 class _Ring:
     """The window that an encoder looks at: the ring with LONGEST - 1 bytes of overlap, and the look-ahead already written at the head."""
@@ -103,10 +115,8 @@ class _Ring:
 
     def common(self, a: int, b: int, start: int = 0) -> int:
         """Length of the common prefix at two slots, LONGEST at most."""
-        x, y = self.buf[a + start : a + LONGEST], self.buf[b + start : b + LONGEST]
-        if x == y:
-            return LONGEST
-        return start + next(i for i, (p, q) in enumerate(zip(x, y, strict=True)) if p != q)
+        x = int.from_bytes(self.buf[a + start : a + LONGEST]) ^ int.from_bytes(self.buf[b + start : b + LONGEST])
+        return LONGEST - (x.bit_length() + 7) // 8
 
 
 class _Tree(_Ring):
@@ -287,8 +297,18 @@ class _Scan(_Ring):
         return best
 
 
+def _chosen(data: bytes, rule: str) -> list[Token]:
+    uniform = len(data) >= LONGEST and len(set(data[:LONGEST])) == 1
+    if rule == "uniform_head" or rule == "combo" and uniform:
+        return encode(data, "basic" if uniform else "no_dummy")
+    a, b = encode(data, "basic"), encode(data, "no_dummy")
+    return a if size_in_bytes(a) < size_in_bytes(b) else b
+
+
 def encode(data: bytes, v: Variant | str = "basic") -> list[Token]:
-    """Tokens of a variant. Empty input gives none."""
+    """Tokens of a variant or of a chooser. Empty input gives none."""
+    if v in CHOOSERS:
+        return _chosen(data, v)
     v = VARIANTS[v] if isinstance(v, str) else v
     if not data:
         return []

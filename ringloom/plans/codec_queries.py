@@ -128,41 +128,41 @@ def pairwise_features(spark, sf_dir):
     return features.pairwise(ties, features.history(t), images)
 
 
-def _rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rivals(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     files = text_files(spark, sf_dir).withColumn("content", F.rpad("content", F.ceil(F.length("content") / WIDTH).cast("int") * WIDTH, F.lit(b" ")))
-    return encoders.encoded_tokens(files.withColumn("file", F.concat("file", F.lit(".lf2"))), RIVALS)
+    return encoders.encoded_tokens(files.withColumn("file", F.concat("file", F.lit(".lf2"))), names)
 
 
-def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _agreement(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     """file, token_idx, variant for each token that a rival has at the same place."""
     truth = _tokens(spark, sf_dir)
-    return truth.select("file", "token_idx", "is_match", "lit", "pos", "len").join(_rivals(spark, sf_dir), ["file", "token_idx", "is_match", "lit", "pos", "len"]).select("file", "token_idx", "variant")
+    return truth.select("file", "token_idx", "is_match", "lit", "pos", "len").join(_rivals(spark, sf_dir, names), ["file", "token_idx", "is_match", "lit", "pos", "len"]).select("file", "token_idx", "variant")
 
 
 @query("variant_agreement")
-def variant_agreement(spark, sf_dir):
+def variant_agreement(spark, sf_dir, rivals=RIVALS):
     """Tokens of each file that each rival reproduces, of how many."""
     n = _tokens(spark, sf_dir).groupBy("file").agg(F.count("*").alias("total"))
-    return _agreement(spark, sf_dir).groupBy("file", "variant").agg(F.count("*").alias("same")).join(n, "file").withColumn("rate", F.col("same") / F.col("total"))
+    return _agreement(spark, sf_dir, rivals).groupBy("file", "variant").agg(F.count("*").alias("same")).join(n, "file").withColumn("rate", F.col("same") / F.col("total"))
 
 
 @query("hopeless_tokens")
-def hopeless_tokens(spark, sf_dir):
-    """Tokens that no rival reproduces: first, last and how many of each file."""
-    found = _agreement(spark, sf_dir).select("file", "token_idx")
+def hopeless_tokens(spark, sf_dir, rivals=RIVALS):
+    """Tokens that no rival reproduces: first, last and how many of each file. ``encoders.HOPELESS`` and ``encoders.UNION`` are the whole lists of rivals."""
+    found = _agreement(spark, sf_dir, rivals).select("file", "token_idx")
     lost = _tokens(spark, sf_dir).join(found, ["file", "token_idx"], "left_anti")
     return lost.groupBy("file").agg(F.count("*").alias("hopeless"), F.min("token_idx").alias("first_hopeless"), F.max("token_idx").alias("last_hopeless"))
 
 
 @query("variant_divergence")
-def variant_divergence(spark, sf_dir):
+def variant_divergence(spark, sf_dir, rivals=RIVALS):
     """Where each rival leaves the truth for the first time, and how it does."""
     from ringloom.operators.compare import first_divergence, positional_diff
 
     kind = F.struct("is_match", "lit", "pos", "len").alias("token")
-    names = F.explode(F.array(*map(F.lit, RIVALS))).alias("variant")
+    names = F.explode(F.array(*map(F.lit, rivals))).alias("variant")
     truth = _tokens(spark, sf_dir).select("file", names, "token_idx", kind)
-    diff = positional_diff(truth, _rivals(spark, sf_dir).select("file", "variant", "token_idx", kind), ["file", "variant"], "token_idx", "token")
+    diff = positional_diff(truth, _rivals(spark, sf_dir, rivals).select("file", "variant", "token_idx", kind), ["file", "variant"], "token_idx", "token")
     d = first_divergence(diff, ["file", "variant"], "token_idx")
     name = lambda c: F.when(F.col(c).isNull(), "end").when(F.col(f"{c}.is_match"), "match").otherwise("lit")
     return d.select("file", "variant", "length", "n_diff", "first_div", name("left_value").alias("left_kind"), name("right_value").alias("right_kind"), (F.col("right_value.len") - F.col("left_value.len")).alias("len_delta"))
