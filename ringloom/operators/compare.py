@@ -24,9 +24,21 @@ def first_divergence(diff: DataFrame, key: Sequence[str], pos: str) -> DataFrame
     return out.select(*key, "length", "n_diff", F.col(f"at.{pos}").alias("first_div"), F.col("at.left_value").alias("left_value"), F.col("at.right_value").alias("right_value"))
 
 
+def array_divergence(pairs: DataFrame, key: Sequence[str], left: str, right: str) -> DataFrame:
+    """``first_divergence`` of two sequences that a row holds whole as arrays without nulls; pairs that are both empty have no row."""
+    differs = F.zip_with(left, right, lambda a, b: ~a.eqNullSafe(b))  # a place that one side lacks is null
+    p = pairs.select(*key, left, right, differs.alias("_differs"))
+    at = F.array_position("_differs", True)
+    p = p.select(*key, F.size("_differs").cast("long").alias("length"), F.size(F.filter("_differs", lambda x: x)).cast("long").alias("n_diff"), F.when(at > 0, at - 1).alias("first_div"), left, right).where("length > 0")
+    value = lambda c: F.get(F.col(c), F.col("first_div").cast("int"))
+    return p.select(*key, "length", "n_diff", "first_div", value(left).alias("left_value"), value(right).alias("right_value"))
+
+
 def match_rate(diff: DataFrame) -> DataFrame:
-    """Micro-averaged rate of places that agree, over the longer sides."""
-    n, same = F.count("*"), F.count_if(~F.col("differs"))
+    """Micro-averaged rate of places that agree, over the longer sides; takes what ``first_divergence`` or ``array_divergence`` gives."""
+    zero = F.lit(0).cast("long")
+    n = F.coalesce(F.sum("length"), zero)
+    same = F.coalesce(F.sum(F.col("length") - F.col("n_diff")), zero)
     return diff.agg(n.alias("places"), same.alias("same"), F.when(n == 0, 0.0).otherwise(same / n).alias("rate"))
 
 
