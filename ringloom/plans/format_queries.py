@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringloom.operators import aggregates, encoders, features
 from ringloom.plans.codec_queries import image_files, text_files
 from ringloom.plans.registry import query, table
-from ringloom.sources import archive, datasets, files, images
+from ringloom.sources import archive, batch, datasets, files, images
 from ringloom.streaming import resume
 
 _BYTES = "encode(coalesce(text, ''))"
@@ -76,30 +78,30 @@ def sink_bmp8(spark, sf_dir):
     return _sink(spark, _lf2(spark, sf_dir), "bmp")
 
 
-def _unpng(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield pd.DataFrame([(name, *images.read_png(bytes(data))) for name, data in f.itertuples(index=False)], columns=["name", "width", "height", "data"])
+def _unpng(rows: pa.RecordBatch) -> pa.RecordBatch:
+    found = [images.read_png(x) for x in rows.column("data").to_pylist()]
+    width, height, data = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([rows.column("name"), pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(data, pa.binary())], ["name", "width", "height", "data"])
 
 
 @query("sink_png", f"SELECT doc_id || '.png' AS name, 16 AS width, CAST({_PIXELS} // 16 AS INT) AS height, md5({_mapped("CASE WHEN p >= '80' THEN '00000000' ELSE p || p || p || (CASE WHEN p = '20' THEN '00' ELSE 'FF' END) END")}) AS md5 FROM documents")
 def sink_png(spark, sf_dir):
     """Chunks with their checksums, and the pixels that a PNG reader finds."""
     made = files.outputs(_lf2(spark, sf_dir), "png").select("name", "data")
-    return made.mapInPandas(_unpng, "name string, width int, height int, data binary").select("name", "width", "height", _digest("data").alias("md5"))
+    return made.mapInArrow(batch.in_passes(_unpng, "data", files.STRETCH >> 2), "name string, width int, height int, data binary").select("name", "width", "height", _digest("data").alias("md5"))
 
 
 def pdt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for file, content in f.itertuples(index=False):
-                data = bytes(content)
-                data += b" " * (-len(data) % 48)
-                alpha = data[::3] if int(file) % 2 == 0 else b""
-                rows.append((f"{file}.pdt", images.write_pdt(images.Image("pdt", 16, len(data) // 48, data, alpha=alpha))))
-            yield pd.DataFrame(rows, columns=["path", "content"])
+    def make(rows: pa.RecordBatch) -> pa.RecordBatch:
+        made = []
+        for path, data in zip(rows.column("path").to_pylist(), rows.column("content").to_pylist(), strict=True):
+            data += b" " * (-len(data) % 48)
+            alpha = data[::3] if path and int(path[:-4]) % 2 == 0 else b""
+            made.append(images.write_pdt(images.Image("pdt", 16, len(data) // 48, data, alpha=alpha)))
+        return pa.RecordBatch.from_arrays([rows.column("path"), pa.array(made, pa.binary())], ["path", "content"])
 
-    return text_files(spark, sf_dir).mapInPandas(run, "path string, content binary").withColumn("format", F.lit("PDT"))
+    named = text_files(spark, sf_dir).select(F.concat("file", F.lit(".pdt")).alias("path"), "content")
+    return named.mapInArrow(batch.in_passes(make, most=files.STRETCH), "path string, content binary").withColumn("format", F.lit("PDT"))
 
 
 _PIXELS3 = f"CAST(16 * ((octet_length({_BYTES}) + 47) // 48) AS BIGINT)"
@@ -147,21 +149,24 @@ def image_report(spark, sf_dir):
 def palette_of_colours(spark, sf_dir):
     """Distinct colours of each image in order of appearance, and pixels that point back at them."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for file, content in f.itertuples(index=False):
-                data = bytes(content)
-                data += b" " * (-len(data) % 48)
-                colours = {c: k for k, c in enumerate(dict.fromkeys(data[i : i + 3] for i in range(0, len(data), 3)))}
-                palette, index = images.quantise(data, 256) if len(colours) <= 256 else ([tuple(c) for c in colours], b"")
-                if index and b"".join(bytes(palette[i]) for i in index) != data:
+    def make(rows: pa.RecordBatch) -> pa.RecordBatch:
+        made = []
+        for file, data in zip(rows.column("file").to_pylist(), rows.column("content").to_pylist(), strict=True):
+            data += b" " * (-len(data) % 48)
+            colours, which = images.colours_of(data)
+            if colours[which].tobytes() != data:
+                raise ValueError(f"{file}: pixels don't point at their colours")
+            if len(colours) <= 256:
+                palette, index = images.quantise(data, 256)
+                if palette != [tuple(c) for c in colours.tolist()] or index != which.astype(np.uint8).tobytes():
                     raise ValueError(f"{file}: pixels don't point at their colours")
-                if palette:
-                    rows.append((int(file), len(palette), b"".join(map(bytes, palette))))
-            yield pd.DataFrame(rows, columns=["doc_id", "colours", "data"])
+            if len(colours):
+                made.append((None if file is None else int(file), len(colours), colours.tobytes()))
+        columns = zip(*made, strict=True) if made else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "colours", "data"])
 
-    return text_files(spark, sf_dir).mapInPandas(run, "doc_id long, colours long, data binary").select("doc_id", "colours", _digest("data").alias("palette_md5"))
+    palettes = text_files(spark, sf_dir).mapInArrow(batch.in_passes(make, most=files.STRETCH), "doc_id long, colours long, data binary")
+    return palettes.select("doc_id", "colours", _digest("data").alias("palette_md5"))
 
 
 _KINDS = "['lf2', 'PDT', 'pak', 'scn', 'g00', 'txt']"
@@ -195,16 +200,31 @@ def format_detect(spark, sf_dir):
 def pak_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive for each eight documents."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for n, items in f.itertuples(index=False):
-                key = bytes((int(n) * 7 + 31 * i) & 0xFF for i in range(archive.KEY))
-                rows.append((f"{n}.pak", archive.build([(f"{x['file']}.TXT", bytes(x["content"])) for x in items], key)))
-            yield pd.DataFrame(rows, columns=["path", "content"])
-
-    by = text_files(spark, sf_dir).groupBy(F.expr("cast(file as long) div 8").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col("file").cast("long").alias("file"), "content"))).alias("items"))
-    return by.where("size(items) >= 3").mapInPandas(run, "path string, content binary")
+    def made(n: int | None, items: list[tuple[str, bytes]]) -> tuple[str | None, bytes]:
+        key = bytes(((n or 0) * 7 + 31 * i) & 0xFF for i in range(archive.KEY))
+        return None if n is None else f"{n}.pak", archive.build(items, key)
+
+    def rows_of(done: list[tuple[str | None, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([c for _, c in done], pa.binary())], ["path", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # documents come in order, so that one archive's are held, and the archives of a stretch
+        last, items, done = None, [], []
+        for b in batch.passes(batches, "content"):
+            for n, file, content in zip(*(b.column(c).to_pylist() for c in ("n", "file", "content")), strict=True):
+                if n != last:
+                    if len(items) >= 3:
+                        done.append(made(last, items))
+                    items = []
+                last = n
+                items.append((f"{file}.TXT", content))
+            yield rows_of(done)
+            done = []
+        yield rows_of([made(last, items)] if len(items) >= 3 else [])
+
+    id = F.col("file").cast("long")
+    rows = text_files(spark, sf_dir).select(F.expr("cast(file as long) div 8").alias("n"), id.alias("file"), "content")
+    return rows.repartition("n").sortWithinPartitions("n", "file", "content").mapInArrow(run, "path string, content binary")
 
 
 _MEMBERS = f"(SELECT *, doc_id // 8 AS n, CAST(octet_length({_BYTES}) AS BIGINT) AS size, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id // 8) AS k FROM documents)"
@@ -223,8 +243,7 @@ def pak_entries(spark, sf_dir):
 @query("pak_members", f"SELECT n || '.pak' AS archive, CAST(i AS INT) AS entry_idx, doc_id || '.TXT' AS name, md5(hex({_BYTES})) AS md5 FROM {_MEMBERS} WHERE k >= 3")
 def pak_members(spark, sf_dir):
     """The bytes of every member."""
-    hexed = F.array_join(F.transform("data", lambda b: F.lpad(F.hex(b), 2, "0")), "")
-    return archive.members(archive.entries(pak_files(spark, sf_dir))).where("_error is null").select("archive", "entry_idx", "name", F.md5(hexed).alias("md5"))
+    return archive.members(archive.entries(pak_files(spark, sf_dir))).where("_error is null").select("archive", "entry_idx", "name", _digest("data").alias("md5"))
 
 
 @query("pak_find_member", f"SELECT n || '.pak' AS archive, CAST(i AS INT) AS entry_idx, doc_id || '.TXT' AS name, size AS length FROM {_MEMBERS} WHERE k >= 3 AND doc_id = 17")

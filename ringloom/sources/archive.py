@@ -6,10 +6,15 @@ table, or of a member, has the key's byte ``i mod 11`` added.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.functions.scalar import bytes_of, little_endian
+from ringloom.sources import batch
 
 MAGIC, ENTRY, KEY = b"LEAFPACK", 24, 11
 #: Known archives by their number of members (fixed values of the format).
@@ -33,6 +38,11 @@ def key_bytes(table: Column) -> Column:
     return F.array(*[F.pmod(x, F.lit(256)) for x in k])
 
 
+def shifted(data: bytes, key: Sequence[int]) -> bytes:
+    """Bytes with the key's added, which repeat."""
+    return (np.frombuffer(data, np.uint8) + np.resize(np.array(list(key), np.int64), len(data))).astype(np.uint8).tobytes()
+
+
 def unshift(values: Column, key: Column) -> Column:
     """Take the key away from an array of bytes."""
     return F.transform(values, lambda v, i: F.pmod(v - F.get(key, F.pmod(i, F.lit(KEY))), F.lit(256)))
@@ -62,11 +72,18 @@ def entries(files: DataFrame, path: str = "path", content: str = "content") -> D
     return rows.select("archive", archive_kind(F.col("count")).alias("kind"), "entry_idx", _name(F.col("table"), at).alias("name"), *[_number(F.col("table"), at + a, 4).alias(n) for a, n in ((12, "position"), (16, "length"), (20, "next_position"))], "key", "content", "_error")
 
 
+def _unshifted(rows: pa.RecordBatch) -> pa.RecordBatch:
+    data = [None if x is None else shifted(x, [-k for k in key]) for x, key in zip(rows.column("data").to_pylist(), rows.column("key").to_pylist(), strict=True)]
+    names = ["archive", "entry_idx", "name", "data", "_error"]
+    return pa.RecordBatch.from_arrays([pa.array(data, pa.binary()) if n == "data" else rows.column(n) for n in names], names)
+
+
 def members(table: DataFrame) -> DataFrame:
-    """Bytes of each member as an array; a member that reaches beyond the file has an ``_error``."""
+    """Bytes of each member; a member that reaches beyond the file has an ``_error``."""
     fits = F.col("position") + F.col("length") <= F.octet_length("content")
-    data = F.when(fits & (F.col("length") > 0), bytes_of(F.substring(F.col("content"), (F.col("position") + 1).cast("int"), F.col("length").cast("int")))).when(fits, F.array().cast("array<int>"))
-    return table.select("archive", "entry_idx", "name", unshift(data, F.col("key")).alias("data"), F.coalesce("_error", F.when(~fits, "member cut off")).alias("_error"))
+    data = F.when(fits, F.substring(F.col("content"), (F.col("position") + 1).cast("int"), F.col("length").cast("int")))
+    rows = table.select("archive", "entry_idx", "name", data.alias("data"), "key", F.coalesce("_error", F.when(~fits, "member cut off")).alias("_error"))
+    return rows.mapInArrow(batch.in_passes(_unshifted, "data"), "archive string, entry_idx int, name string, data binary, _error string")
 
 
 def find_member(table: DataFrame, name: str) -> DataFrame:
@@ -86,7 +103,7 @@ def build(items: list[tuple[str, bytes]], key: bytes) -> bytes:
     entry's next position is the position of the entry after it."""
     out = bytearray(MAGIC + len(items).to_bytes(2, "little"))
     table = bytearray()
-    shift = lambda data: bytes((b + key[i % KEY]) & 0xFF for i, b in enumerate(data))
+    shift = lambda data: shifted(data, key)
     places = []
     for _, data in items:
         places.append(len(out))

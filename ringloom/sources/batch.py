@@ -16,6 +16,8 @@ from ringloom.sources.lzss import FILL, LONGEST, RING, SHORTEST, START
 
 #: Bytes that one pass takes, which bounds its memory; a longer file is a pass of its own (its search goes on in stretches).
 PASS = 1 << 20
+#: Places that are searched at once, so that their arrays stay in a core's cache.
+PLACES = 1 << 16
 _SHIFT = np.uint64(36)
 
 
@@ -79,8 +81,9 @@ def search(data: np.ndarray, bounds: np.ndarray, low: int, high: int, key: int,
     dist, length = np.zeros(size, np.int16), np.zeros(size, np.int8)
     if len(d) < key:
         return dist, length
-    file = np.repeat(np.arange(len(bounds) - 1), np.diff(np.clip(bounds, a, b)))
-    begin, end = np.clip(bounds[:-1], a, b)[file] - a, np.clip(bounds[1:], a, b)[file] - a
+    i, j = np.searchsorted(bounds, a, "right") - 1, np.searchsorted(bounds, b)
+    near = np.clip(bounds[i : j + 1], a, b)
+    begin, end = (np.repeat(x - a, np.diff(near)) for x in (near[:-1], near[1:]))
     n = len(d) - key + 1
     codes = d[:n].astype(np.uint64)
     for k in range(1, key):
@@ -121,8 +124,8 @@ def search(data: np.ndarray, bounds: np.ndarray, low: int, high: int, key: int,
 def encode(data: np.ndarray, bounds: np.ndarray, key: int, depth: int, last: bool = False, oldest: bool = False, shortest: int = SHORTEST) -> Tokens:
     """Tokens of a hash-chain variant for each file."""
     dist, length = np.zeros(len(data), np.int16), np.zeros(len(data), np.int8)
-    for low in range(0, len(data), PASS):
-        high = min(low + PASS, len(data))
+    for low in range(0, len(data), PLACES):
+        high = min(low + PLACES, len(data))
         dist[low:high], length[low:high] = search(data, bounds, low, high, key, depth, last, oldest)
     matched = length >= shortest
     step, s, at, e = np.where(matched, length, 1).astype(np.uint8).tobytes(), 0, [], len(data)

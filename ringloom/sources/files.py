@@ -7,12 +7,14 @@ import time
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringloom.functions.scalar import extension, file_stem, little_endian
-from ringloom.sources import images
+from ringloom.sources import batch, images
 from ringloom.sources.lzss import Truncated, expand, read_tokens
 
 
@@ -69,28 +71,34 @@ def lf2_headers(files: DataFrame) -> DataFrame:
 
 
 DECODED = "path string, format string, width int, height int, transparent int, palette array<struct<r:int,g:int,b:int>>, pixels binary, alpha binary, decode_ms double, _error string"
+_RGB = pa.list_(pa.struct([("r", pa.int32()), ("g", pa.int32()), ("b", pa.int32())]))
+DECODED_TYPES = pa.schema([("path", pa.string()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("transparent", pa.int32()), ("palette", _RGB), ("pixels", pa.binary()), ("alpha", pa.binary()), ("decode_ms", pa.float64()), ("_error", pa.string())])
+#: Bytes of files that are decoded or written at once.
+STRETCH = 1 << 19
 
 
 def decode(files: DataFrame) -> DataFrame:
     """LF2, SCN (an LF2 by another name) and PDT files to image rows."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content, kind in frame[["path", "content", "format"]].itertuples(index=False):
-                began = time.perf_counter()
-                try:
-                    if kind not in ("LF2", "SCN", "PDT"):
-                        raise ValueError(f"unsupported format {kind}")
-                    x = images.read_pdt(content) if kind == "PDT" else images.read_lf2(content)
-                    palette = [{"r": r, "g": g, "b": b} for r, g, b in x.palette]
-                    rows.append((path, kind, x.width, x.height, x.transparent, palette, x.pixels, x.alpha, (time.perf_counter() - began) * 1e3, None))
-                except (ValueError, IndexError) as e:
-                    rows.append((path, kind, None, None, None, None, None, None, None, str(e)))
-            out = pd.DataFrame(rows, columns=["path", "format", "width", "height", "transparent", "palette", "pixels", "alpha", "decode_ms", "_error"])
-            yield out.astype({"width": "Int32", "height": "Int32", "transparent": "Int32", "decode_ms": "float64"})
+    names = [x.name for x in DECODED_TYPES]
 
-    return files.select("path", "content", "format").mapInPandas(run, DECODED)
+    def make(rows: pa.RecordBatch) -> pa.RecordBatch:
+        began = time.perf_counter()
+        kinds, contents = rows.column("format").to_pylist(), rows.column("content").to_pylist()
+        found = images.read_all(contents, kinds)
+        spent = (time.perf_counter() - began) * 1e3 / max(1, sum(map(len, contents)))  # a file's share of its stretch by its size
+        out, palettes = [], {}
+        for path, kind, content, x in zip(rows.column("path").to_pylist(), kinds, contents, found, strict=True):
+            if isinstance(x, Exception):
+                out.append((path, kind, None, None, None, None, None, None, None, str(x)))
+            else:
+                palette = palettes.setdefault(tuple(x.palette), len(palettes))
+                out.append((path, kind, x.width, x.height, x.transparent, palette, x.pixels, x.alpha, spent * len(content), None))
+        columns = dict(zip(names, zip(*out, strict=True), strict=True))
+        few = pa.array([[{"r": r, "g": g, "b": b} for r, g, b in p] for p in palettes], _RGB)  # files often have the same one
+        return pa.RecordBatch.from_arrays([few.take(pa.array(c, pa.int32())) if n == "palette" else pa.array(c, DECODED_TYPES.field(n).type) for n, c in columns.items()], names)
+
+    return files.select("path", "content", "format").mapInArrow(batch.in_passes(make, most=STRETCH), DECODED)
 
 
 TOKENS = "file string, token_idx int, is_match boolean, lit int, pos int, len int, len_eff int, input_pos int, _error string"
@@ -133,16 +141,19 @@ def ring_input(content: bytes) -> bytes:
 def outputs(decoded: DataFrame, kind: str = "bmp") -> DataFrame:
     """path, name (with the new extension) and bytes of each decoded image."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            data = []
-            for r in f.itertuples(index=False):
-                palette = [(c["r"], c["g"], c["b"]) for c in (r.palette if r.palette is not None else [])]
-                x = images.Image("pdt" if r.format == "PDT" else "lf2", int(r.width), int(r.height), bytes(r.pixels), palette, int(r.transparent), alpha=bytes(r.alpha))
-                data.append(images.encode_as(x, kind))
-            yield pd.DataFrame({"path": f["path"], "data": data})
-
-    made = decoded.where("_error is null").drop("decode_ms", "_error").mapInPandas(run, "path string, data binary")
+    def make(rows: pa.RecordBatch) -> pa.RecordBatch:
+        data, seen = [], {}
+        colours = np.stack([rows.column("palette").flatten().field(c).to_numpy(zero_copy_only=False) for c in "rgb"], 1).astype(np.uint8)
+        ends = np.cumsum(rows.column("palette").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        begin = 0
+        for r, end in zip(rows.drop_columns("palette").to_pylist(), ends.tolist(), strict=True):
+            raw, begin = colours[begin:end].tobytes(), end
+            palette = seen[raw] = seen[raw] if raw in seen else [tuple(raw[i : i + 3]) for i in range(0, len(raw), 3)]
+            x = images.Image("pdt" if r["format"] == "PDT" else "lf2", r["width"], r["height"], r["pixels"], palette, r["transparent"], alpha=r["alpha"])
+            data.append(images.encode_as(x, kind))
+        return pa.RecordBatch.from_arrays([rows.column("path"), pa.array(data, pa.binary())], ["path", "data"])
+
+    made = decoded.where("_error is null").drop("decode_ms", "_error").mapInArrow(batch.in_passes(make, "pixels", STRETCH), "path string, data binary")
     return made.select("path", F.concat(file_stem(F.col("path")), F.lit(f".{kind}")).alias("name"), "data")
 
 
@@ -163,7 +174,10 @@ def write_outputs(made: DataFrame, folder: str) -> None:
 
 def report(files: DataFrame, decoded: DataFrame) -> DataFrame:
     """Size, time, memory and transparency of each image. memory_kb counts four bytes a pixel."""
-    clear = F.size(F.filter(F.split(F.hex("pixels"), "(?<=\\G..)"), lambda p: p == F.lpad(F.hex("transparent"), 2, "0")))
+    text = F.decode("pixels", "ISO-8859-1")  # a character for each byte
+    clear = F.length(text) - F.length(F.replace(text, F.char("transparent"), F.lit("")))
     raw = F.col("width").cast("long") * F.col("height") * F.when(F.col("format") == "PDT", 3).otherwise(1)
-    both = decoded.join(files.select("path", F.col("length").alias("size")), "path")
-    return both.select(F.col("path").alias("file"), "size", "width", "height", "format", F.col("decode_ms").alias("decode_time_ms"), F.expr("width * cast(height as bigint) * 4 div 1024").alias("memory_kb"), F.when(F.col("size") == 0, 0.0).otherwise(raw / F.col("size")).alias("compression_ratio"), F.when(F.col("format") != "PDT", clear).alias("transparent_pixels"), "_error")
+    # pixels are counted before the join, so that they aren't shuffled
+    counted = decoded.select("path", "width", "height", "format", "decode_ms", clear.alias("clear"), "_error")
+    both = counted.join(files.select("path", F.col("length").alias("size")), "path")
+    return both.select(F.col("path").alias("file"), "size", "width", "height", "format", F.col("decode_ms").alias("decode_time_ms"), F.expr("width * cast(height as bigint) * 4 div 1024").alias("memory_kb"), F.when(F.col("size") == 0, 0.0).otherwise(raw / F.col("size")).alias("compression_ratio"), F.when(F.col("format") != "PDT", F.col("clear")).alias("transparent_pixels"), "_error")

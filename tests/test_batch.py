@@ -22,7 +22,7 @@ def together(docs):
 @pytest.mark.parametrize("name", ["chain3_8_first", "chain3_8_last", "chain8_first", "chain_oldest8"])
 @pytest.mark.parametrize("size", [700, 1 << 20])
 def test_searched_at_once(monkeypatch, name, size):
-    monkeypatch.setattr(batch, "PASS", size)
+    monkeypatch.setattr(batch, "PLACES", size)
     data, bounds = together(DOCS)
     t = encoders.tokens_of(data, bounds, name)
     payload, at = batch.frame(t)
