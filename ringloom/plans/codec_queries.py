@@ -67,7 +67,7 @@ def _encoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         content = [lf2_head(Image("lf2", WIDTH, n // WIDTH, b"", grey, 32)) + raw[s:e] for n, s, e in zip((bounds[1:] - bounds[:-1]).tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([rows.column("path"), pa.array(content, pa.binary())], ["path", "content"])
 
-    out = text_files(spark, sf_dir).select(F.concat("file", F.lit(".lf2")).alias("path"), "content").mapInArrow(batch.in_passes(make), "path string, content binary")
+    out = encoders.spread(text_files(spark, sf_dir).select(F.concat("file", F.lit(".lf2")).alias("path"), "content")).mapInArrow(batch.in_passes(make), "path string, content binary")
     return out.withColumns({"format": F.lit("LF2"), "length": F.octet_length("content").cast("long")})
 
 
