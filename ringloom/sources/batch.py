@@ -223,16 +223,19 @@ def _copied(literals: np.ndarray, literal_at: np.ndarray, start: np.ndarray, n:
     """Units of all files: each match copies unit by unit from ``back`` behind; what lies before ``low``, its file's start, is fill."""
     out = np.full((size + 1, unit), fill, np.uint8)
     out[literal_at] = literals
-    to = np.arange(size + 1)
-    places = ranges(start, n)
-    source = places - np.repeat(back, n)
-    to[places] = np.where(source < np.repeat(low, n), size, source)  # the last unit stands for the fill
-    left = places
+    number = np.int32 if size < 1 << 30 else np.int64  # half the memory to go through
+    which, ends = np.repeat(np.arange(len(n), dtype=number), n), np.cumsum(n)
+    places = np.arange(len(which), dtype=number) + (start - (ends - n)).astype(number)[which]
+    here = places - back.astype(number)[which]
+    here[here < low.astype(number)[which]] = size  # the last unit stands for the fill
+    del which
+    to = np.arange(size + 1, dtype=number)
+    to[places], left = here, places
     while len(left):  # each turn doubles the way
-        further = to[to[left]]
-        moved = further != to[left]
-        left, further = left[moved], further[moved]
-        to[left] = further
+        further = to[here]
+        moved = further != here
+        left, here = left[moved], further[moved]
+        to[left] = here
     out[places] = out[to[places]]
     return out[:size].reshape(-1)
 
