@@ -73,8 +73,8 @@ def lf2_headers(files: DataFrame) -> DataFrame:
 DECODED = "path string, format string, width int, height int, transparent int, palette array<struct<r:int,g:int,b:int>>, pixels binary, alpha binary, decode_ms double, _error string"
 _RGB = pa.list_(pa.struct([("r", pa.int32()), ("g", pa.int32()), ("b", pa.int32())]))
 DECODED_TYPES = pa.schema([("path", pa.string()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("transparent", pa.int32()), ("palette", _RGB), ("pixels", pa.binary()), ("alpha", pa.binary()), ("decode_ms", pa.float64()), ("_error", pa.string())])
-#: Bytes of files that are decoded or written at once.
-STRETCH = 1 << 19
+#: Bytes of files that are decoded or written at once, so that their arrays stay in a core's cache.
+STRETCH = 1 << 17
 
 
 def decode(files: DataFrame) -> DataFrame:
