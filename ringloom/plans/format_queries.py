@@ -88,7 +88,7 @@ def _unpng(rows: pa.RecordBatch) -> pa.RecordBatch:
 def sink_png(spark, sf_dir):
     """Chunks with their checksums, and the pixels that a PNG reader finds."""
     made = files.outputs(_lf2(spark, sf_dir), "png").select("name", "data")
-    return made.mapInArrow(batch.in_passes(_unpng, "data", files.STRETCH >> 2), "name string, width int, height int, data binary").select("name", "width", "height", _digest("data").alias("md5"))
+    return made.mapInArrow(batch.in_passes(_unpng, "data", files.STRETCH), "name string, width int, height int, data binary").select("name", "width", "height", _digest("data").alias("md5"))
 
 
 def pdt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
