@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringloom.llm._common import grouped_rank, saved
-from ringloom.llm.tokens import default_tokenizer, encoder
+from ringloom.llm.tokens import default_tokenizer, task_encoder
 
 CAPACITY = 4096
 #: Classes of the linear program, its rounds, and how fast its weights move.
@@ -43,19 +43,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None = 1, to
     schema = f"{id_col} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
-        for b in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                ids = code.encode(text.as_py()) + tail
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-                    held += len(part) * with_ids
-                if held > 1 << 24:
-                    yield _batch(rows, id_col, with_ids)
-                    rows, held = [], 0
-            yield _batch(rows, id_col, with_ids)
+        with task_encoder(tokenizer) as code:
+            for b in batches:
+                rows, held = [], 0
+                for doc_id, text in zip(b.column(0), b.column(1), strict=True):
+                    ids = code.encode(text.as_py()) + tail
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+                        held += len(part) * with_ids
+                    if held > 1 << 24:
+                        yield _batch(rows, id_col, with_ids)
+                        rows, held = [], 0
+                yield _batch(rows, id_col, with_ids)
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(cut, schema)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringloom.llm._common import bucket_of, key_ranges, n_parts, new_path
-from ringloom.llm.tokens import default_tokenizer, encoder
+from ringloom.llm.tokens import default_tokenizer, task_encoder
 
 MAGIC = b"RLSST001"
 FOOTER = struct.Struct("<QQQQQQBB6x8s")
@@ -199,13 +199,14 @@ def write_shards(docs: DataFrame, path: str, end_id: int | None = 2, tokenizer:
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, code = None, encoder(tokenizer)
-        for b in batches:
-            for doc_id, text, shard in zip(*(b.column(i) for i in range(3)), strict=True):
-                if writer is None:
-                    at, name = shard.as_py(), f"{path}/shard-{shard.as_py():06d}-{uuid.uuid4().hex[:12]}.sst"
-                    writer = Writer(name, 2 if code.tokenizer.get_vocab_size() <= 1 << 16 else 4)
-                writer.add(doc_id.as_py(), np.frombuffer(code.encode(text.as_py()) + tail, "<u4"))
+        writer = None
+        with task_encoder(tokenizer) as code:
+            for b in batches:
+                for doc_id, text, shard in zip(*(b.column(i) for i in range(3)), strict=True):
+                    if writer is None:
+                        at, name = shard.as_py(), f"{path}/shard-{shard.as_py():06d}-{uuid.uuid4().hex[:12]}.sst"
+                        writer = Writer(name, 2 if code.tokenizer.get_vocab_size() <= 1 << 16 else 4)
+                    writer.add(doc_id.as_py(), np.frombuffer(code.encode(text.as_py()) + tail, "<u4"))
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [at], "path": [name], "docs": [writer.docs], "tokens": [writer.tokens]}, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 #: Entries of the caches, for words as they stand and for their lower-case runs of letters or marks.
@@ -78,6 +80,11 @@ class WordEncoder:
                 self.runs[run] = out
         return out
 
+    def forget(self) -> None:
+        """Empty the caches, so that a worker that goes on to other work doesn't hold them."""
+        self.words.clear()
+        self.runs.clear()
+
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -88,5 +95,14 @@ def _packed(ids: list[int]) -> bytes:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process: its caches last over tasks."""
+    """One encoder for each worker process; ``task_encoder`` has its caches emptied after each task."""
     return WordEncoder(path)
+
+
+@contextmanager
+def task_encoder(path: str) -> Iterator[WordEncoder]:
+    code = encoder(path)
+    try:
+        yield code
+    finally:
+        code.forget()
