@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,10 +38,89 @@ def of_width(df: DataFrame, column: str, width: int) -> DataFrame:
 FORMATS = {"lf2": "LF2", "pdt": "PDT", "pak": "PAK", "scn": "SCN", "g00": "G00"}
 
 
+_SCAN = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary()), ("format", pa.string())])
+#: Bytes of files that a scan hands on at once, about.
+SCANNED = 4 << 20
+
+
+def _store(path: str):
+    """File system and path in it. A local path is taken as it is written, as Spark does; any other is a URI that pyarrow knows."""
+    from pyarrow import fs
+
+    if "://" not in path or path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else os.path.abspath(path)
+    return fs.FileSystem.from_uri(path)
+
+
+def _listed(root: str, recursive: bool) -> Iterator[str]:
+    """Files of a folder, or the file itself; names that begin with a dot or an underscore are hidden, as in Spark. A local folder is never held whole."""
+    from pyarrow import fs
+
+    store, at = _store(root)
+    if store.get_file_info(at).type == fs.FileType.File:
+        yield at
+    elif isinstance(store, fs.LocalFileSystem):
+        todo = [at]
+        while todo:
+            with os.scandir(todo.pop()) as entries:
+                for e in entries:
+                    if e.name[0] in "._":
+                        continue
+                    if not e.is_dir():
+                        yield e.path
+                    elif recursive:
+                        todo.append(e.path)
+    else:
+        todo = [at]
+        while todo:
+            for x in store.get_file_info(fs.FileSelector(todo.pop())):
+                if x.base_name[0] not in "._":
+                    if x.type == fs.FileType.File:
+                        yield x.path
+                    elif recursive:
+                        todo.append(x.path)
+
+
 def scan(spark: SparkSession, *paths: str, kinds: tuple[str, ...] = tuple(FORMATS), recursive: bool = False) -> DataFrame:
-    """Files or one level of folders: path, length, content, format. Extensions count in any case; order is left to the output."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(list(paths))
-    return df.select("path", "length", "content").withColumn("format", format_by_extension(F.col("path"))).where(extension(F.col("path")).isin(*kinds))
+    """Files or one level of folders: path, length, content, format. Extensions count in any case; order is left to the output.
+
+    Folders are listed in tasks and their files are dealt out by path to the tasks that read them, so the driver holds no list of files. Any store that
+    pyarrow knows.
+    """
+
+    def heads(root: str) -> tuple:
+        """File system, its own path of the root, and the root as it is shown."""
+        store, at = _store(root)
+        local = "://" not in root or root.startswith("file:")
+        return store, at.rstrip("/"), f"file:{at.rstrip('/')}" if local else root.rstrip("/")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for root in b.column("root").to_pylist():
+                _, own, shown = heads(root)
+                found = _listed(root, recursive)
+                while some := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([root] * len(some), pa.string()), pa.array([shown + x[len(own) :] for x in some], pa.string())], ["root", "path"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}
+        for b in batches:
+            rows, held = [], 0
+            for i, (root, path, kind) in enumerate(zip(*(b.column(c).to_pylist() for c in ("root", "path", "format")), strict=True)):
+                store, own, shown = known[root] = known.get(root) or heads(root)
+                with store.open_input_stream(own + path[len(shown) :], compression=None) as f:
+                    content = f.read()
+                rows.append((path, len(content), content, kind))
+                held += len(content)
+                if held >= SCANNED or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCAN.types, strict=True)], schema=_SCAN)
+                    rows, held = [], 0
+
+    roots = spark.createDataFrame([(p,) for p in paths], "root string").mapInArrow(listed, "root string, path string")
+    path = F.col("path")
+    wanted = roots.withColumn("format", format_by_extension(path)).where(extension(path).isin(*kinds))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return wanted.repartition(parts, "path").mapInArrow(read, "path string, length long, content binary, format string")
 
 
 def format_by_extension(path: Column) -> Column:
@@ -161,9 +242,7 @@ def write_outputs(made: DataFrame, folder: str) -> None:
     """Write each output under its name; any store that pyarrow knows."""
 
     def put(rows: Iterator) -> None:
-        from pyarrow import fs
-
-        store, at = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, at = _store(folder)
         store.create_dir(at, recursive=True)
         for r in rows:
             with store.open_output_stream(f"{at}/{r['name']}") as out:
